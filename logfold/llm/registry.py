@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logfold.llm import quality
+from logfold.llm import quality, simhash
 
 QUERIES = {
+    "op6_simhash": simhash.op6_simhash,
     "op10_quality": quality.op10_quality,
 }
 
