@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logfold.llm import pii, quality, simhash
+from logfold.llm import packing, pii, quality, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
     "op10_quality": quality.op10_quality,
