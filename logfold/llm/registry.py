@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logfold.llm import packing, pii, quality, simhash
+from logfold.llm import lines, packing, pii, quality, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_lines": lines.op3_lines,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
     "op10_quality": quality.op10_quality,
