@@ -128,8 +128,8 @@ def _band_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, line long")
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """grp and lines: arrays of at most 2 * GROUP lines that share a band; each group once, though many bands find it."""
+def _groups(docs: DataFrame, size: int) -> DataFrame:
+    """grp and lines: arrays of at most 2 * size lines that share a band; each group once, though many bands find it."""
     spread = _band_rows(docs).repartition("bucket").sortWithinPartitions("bucket", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _groups(docs: DataFrame) -> DataFrame:
             got = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
             if len(got) < 2:
                 return []
-            blocks = np.array_split(got, -(-len(got) // GROUP))
+            blocks = np.array_split(got, -(-len(got) // size))
             return [got] if len(blocks) < 3 else [np.concatenate((blocks[i], blocks[j])) for j in range(len(blocks)) for i in range(j)]
 
         def rows(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -212,9 +212,9 @@ def _linked(lines: list[str], similarity: float) -> list[tuple[int, int]]:
     return edges
 
 
-def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """a, b: keys of lines joined by verified links."""
-    groups = stored(_groups(docs), "line-groups")
+    groups = stored(_groups(docs, group), "line-groups")
     members = groups.select("grp", F.explode("lines").alias("line"))
     wanted = stored(firsts.withColumn("line", _short_column("key")).join(members.select("line").distinct(), "line", "left_semi"), "line-wanted")
     by_doc = wanted.groupBy("doc_id", "copy").agg(F.collect_list("place").alias("places"))
@@ -263,11 +263,11 @@ def _short_column(key: str) -> Column:
     return F.conv(F.concat(*octets), 16, -10).cast("long")
 
 
-def kept_places(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """doc_id, copy and places (sorted) of the lines that stay, for documents with any."""
     where = F.struct("doc_id", "copy", "place")
     firsts = stored(occurrences(docs).groupBy("key").agg(F.min(where).alias("first")).select("key", "first.*"), "line-firsts")
-    edges = links(docs, firsts, similarity)
+    edges = links(docs, firsts, similarity, group)
     found = components(edges)
     firsts_of = found.join(firsts, found.node == firsts.key).select("component", "key", where.alias("first"))
     head = firsts_of.groupBy("component").agg(F.min_by("key", "first").alias("head"))
@@ -275,11 +275,11 @@ def kept_places(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return firsts.join(gone, "key", "left_anti").groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """docs with only the kept lines (and the white-space lines) in its text, and n_lines_removed at the end."""
     names = list(docs.columns)
     at = names.index("text")
-    kept = kept_places(docs, similarity)
+    kept = kept_places(docs, similarity, group)
     by_doc = kept.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("copy", "places"))).alias("_kept")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(by_doc, docs["doc_id"].cast("long") == by_doc["_doc"], "left").select(*[docs[f"`{c}`"] for c in names], "_kept")
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from logfold.llm import lines, packing, pii, quality, simhash
+from logfold.llm import lines, packing, pii, quality, simhash, topk
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_lines": lines.op3_lines,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
+    "op9_topk": topk.op9_topk,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_topk": topk.ORACLE,
+}

@@ -48,9 +48,9 @@ def brute(rows):
     return sorted(out, key=lambda r: (r[0], r[1] or ""))
 
 
-def run(spark, rows):
+def run(spark, rows, **more):
     docs = spark.createDataFrame([(t, d, "k", 1) for d, t in rows], "text string, doc_id long, key string, line int")
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, **more)
     assert out.columns == ["text", "doc_id", "key", "line", "n_lines_removed"]
     return sorted(((r.doc_id, r.text) for r in out.collect()), key=lambda r: (r[0], r[1] or ""))
 
@@ -71,11 +71,10 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(lines, "GROUP", 8)
+def test_hot_group_in_blocks(spark):
     base = " ".join(f"word{k}" for k in range(60))
     rows = [(d, base.replace(f"word{d} ", f"other{d} ")) for d in range(50)]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, group=8) == brute(rows)
 
 
 def test_empty_table(spark):
