@@ -36,7 +36,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, dep
     """Logistic boosting. monotone holds +1, 0 or -1 per feature; a constrained feature's splits keep their children in
     order, and the children's subtrees stay on either side of the middle between them."""
     n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else x[:, j] for j in range(d)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], axis=1)
     nodes = 2 ** (depth + 1) - 1
     feature = np.zeros((trees, nodes), np.int64)

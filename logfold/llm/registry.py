@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from logfold.llm import lines, packing, pii, quality, simhash, topk
+from logfold.llm import html_text, lines, packing, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_lines": lines.op3_lines,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
+    "op7_html": html_text.op7_html,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
     "op10_quality": quality.op10_quality,
 }
