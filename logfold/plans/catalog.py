@@ -1,10 +1,16 @@
-"""Named queries over the test tables with the SQL that checks them."""
+"""Named queries over the test tables with the SQL that checks them.
+
+events is read as a commit log: event_id is the index of a frame, user_id its key or page, a purchase its commit flag.
+orders are records by key, lineitem the changes waiting to be drained.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from logfold.operators import log, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +33,326 @@ def query(sql: str | None = None):
     return add
 
 
+_SEG = """WITH seg AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS c, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
+ OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS txn FROM events) """
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.transactions(table(spark, sf_dir, "events"), "event_id", F.col("event_type") == "purchase")
+
+
+# Reads.
+
+
+@query("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey")
+def scan_order(spark, sf_dir):
+    return table(spark, sf_dir, "region").orderBy("r_regionkey")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def count_star(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
+def point_lookup(spark, sf_dir):
+    return log.point(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", 7)
+
+
+@query("SELECT CAST(coalesce(min(event_id), 0) AS BIGINT) AS first_index, CAST(coalesce(max(event_id), 0) AS BIGINT) AS last_index FROM events")
+def log_bounds(spark, sf_dir):
+    return log.bounds(table(spark, sf_dir, "events"), "event_id")
+
+
+@query("""WITH l AS (SELECT event_id FROM events WHERE event_id % 10 <> 3), g AS (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM l)
+SELECT p + 1 AS gap_start, event_id - 1 AS gap_end FROM g WHERE event_id > p + 1""")
+def log_gaps(spark, sf_dir):
+    return log.gaps(table(spark, sf_dir, "events").where("event_id % 10 <> 3"), "event_id")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def lww_merge(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    return log.merge(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id <= 500 GROUP BY user_id")
+def as_of_version(spark, sf_dir):
+    return log.as_of(table(spark, sf_dir, "events"), "user_id", "event_id", 500, "event_type")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events WHERE event_id <= 800 GROUP BY user_id HAVING user_id <= 60")
+def merge_truncate(spark, sf_dir):
+    return log.merge_truncate(table(spark, sf_dir, "events"), "user_id", "event_id", 800, 60, "value")
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 5000) WHERE r > 1")
+def compaction_candidates(spark, sf_dir):
+    return log.superseded(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 5000).select("event_id", "user_id")
+
+
+@query("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS VARCHAR) AS nothing, 1 AS truth")
+def const_select(spark, sf_dir):
+    return spark.sql("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS STRING) AS nothing, CAST(1 = 1 AS INT) AS truth")
+
+
+# Transactions.
+
+
+@query(_SEG + "SELECT txn, count(*) AS pages, max(event_id) AS commit_frame FROM seg GROUP BY txn HAVING max(c) = 1")
+def txn_segments(spark, sf_dir):
+    return log.committed(_frames(spark, sf_dir))
+
+
+@query(_SEG + "SELECT event_id FROM seg WHERE txn NOT IN (SELECT txn FROM seg WHERE c = 1)")
+def uncommitted_tail(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    return frames.join(frames.where("is_commit = 1").select("txn"), "txn", "left_anti").select("event_id")
+
+
+@query(_SEG + "SELECT txn, user_id, max(event_id) AS frame FROM seg GROUP BY txn, user_id")
+def txn_coalesce(spark, sf_dir):
+    return _frames(spark, sf_dir).groupBy("txn", "user_id").agg(F.max("event_id").alias("frame"))
+
+
+@query(_SEG + "SELECT txn, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY event_id) AS pages, count(*) AS n FROM seg GROUP BY txn HAVING max(c) = 1")
+def txn_nest(spark, sf_dir):
+    nested = _frames(spark, sf_dir).groupBy("txn").agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))).alias("p"), F.max("is_commit").alias("done")).where("done = 1")
+    return nested.select("txn", F.array_join(F.transform("p", lambda x: x["user_id"].cast("string")), ",").alias("pages"), F.size("p").cast("long").alias("n"))
+
+
+@query(_SEG + "SELECT txn, CASE WHEN max(c) = 1 AND count(*) >= 1 AND min(user_id) <> 0 AND min(length(props)) > 0 THEN 'OK' ELSE 'INVALID' END AS status FROM seg GROUP BY txn")
+def validate_txn(spark, sf_dir):
+    shape = (F.max("is_commit") == 1) & (F.min("user_id") != 0) & (F.min(F.length("props")) > 0)
+    return _frames(spark, sf_dir).groupBy("txn").agg(F.when(shape, "OK").otherwise("INVALID").alias("status"))
+
+
+# Admission.
+
+
+@query("""SELECT event_id, CASE WHEN CASE WHEN event_id % 7 = 0 THEN event_id - 2 ELSE event_id - 1 END IS NOT DISTINCT FROM lag(event_id) OVER (ORDER BY event_id) THEN 'OK' ELSE 'STALE_BASE' END AS status FROM events""")
+def base_check(spark, sf_dir):
+    base = F.when(F.col("event_id") % 7 == 0, F.col("event_id") - 2).otherwise(F.col("event_id") - 1)
+    return log.base_check(table(spark, sf_dir, "events").select("event_id"), "event_id", base).select("event_id", "status")
+
+
+@query("""WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'OK' WHEN 'error' THEN 'STALE_BASE' WHEN 'purchase' THEN 'NOT_LEADER' WHEN 'signup' THEN 'INVALID' ELSE 'AMBIGUOUS' END AS status FROM events)
+SELECT event_id, status, CASE status WHEN 'OK' THEN 'OK' WHEN 'STALE_BASE' THEN 'BUSY' WHEN 'NOT_LEADER' THEN 'READONLY' ELSE 'IOERR_WRITE' END AS code, status IN ('STALE_BASE', 'NOT_LEADER') AS safe_to_retry FROM s""")
+def outcome_map(spark, sf_dir):
+    e = F.col("event_type")
+    status = F.when(e == "click", "OK").when(e == "error", "STALE_BASE").when(e == "purchase", "NOT_LEADER").when(e == "signup", "INVALID").otherwise("AMBIGUOUS")
+    return log.outcomes(table(spark, sf_dir, "events").select("event_id", status.alias("status")), "status")
+
+
+@query("SELECT entry_id, min(idx) AS idx FROM (SELECT 'e' || event_id AS entry_id, event_id AS idx FROM events UNION ALL SELECT 'e' || event_id, event_id + 1000000 FROM events WHERE event_id % 3 = 0) GROUP BY entry_id")
+def dedupe_entries(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    entry = F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entry_id")
+    replay = events.where("event_id % 3 = 0").select(entry, (F.col("event_id") + 1000000).alias("idx"))
+    return log.dedupe(events.select(entry, F.col("event_id").alias("idx")).unionByName(replay), "entry_id", "idx")
+
+
+# Changes.
+
+
+@query("SELECT user_id, CAST(coalesce(max(event_id), 0) + 1 AS BIGINT) AS next_rev FROM events GROUP BY user_id")
+def next_rev(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.coalesce(F.max("event_id"), F.lit(0)) + 1).alias("next_rev"))
+
+
+@query("SELECT CAST(coalesce(max(event_id), 0) + 1 AS BIGINT) AS next_rev FROM events WHERE user_id < 0")
+def next_rev_empty(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("user_id < 0").agg((F.coalesce(F.max("event_id"), F.lit(0)) + 1).cast("long").alias("next_rev"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'A' UNION ALL SELECT 101, 'B'")
+def insert_rows(spark, sf_dir):
+    new = spark.createDataFrame([(100, "A"), (101, "B")], "n_nationkey int, n_name string")
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").unionByName(new)
+
+
+_UPSERTS = "SELECT o_orderkey + 5 AS k, 'Z' AS v FROM orders WHERE o_orderkey % 6 = 0 UNION SELECT o_orderkey + 1000000, 'N' FROM orders WHERE o_orderkey % 6 = 1"
+
+
+def _upserts(orders: DataFrame) -> DataFrame:
+    changed = orders.where("o_orderkey % 6 = 0").select((F.col("o_orderkey") + 5).alias("o_orderkey"), F.lit("Z").alias("o_orderstatus"))
+    return changed.unionByName(orders.where("o_orderkey % 6 = 1").select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"))).distinct()
+
+
+@query(f"WITH u AS ({_UPSERTS}) SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT k FROM u) UNION ALL SELECT k, v FROM u")
+def upsert_replace(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return rows.upsert(orders, _upserts(orders), "o_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'rewritten' ELSE event_type END AS data, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS term FROM events")
+def log_upsert(spark, sf_dir):
+    entries = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("data"), F.lit(1).alias("term"))
+    again = entries.where("event_id % 4 = 0").select("event_id", F.lit("rewritten").alias("data"), F.lit(2).alias("term"))
+    return rows.upsert(entries, again, "event_id")
+
+
+@query("SELECT r_name AS key, CASE WHEN r_regionkey = 2 THEN 'x' ELSE CAST(r_regionkey AS VARCHAR) END AS value FROM region")
+def kv_upsert(spark, sf_dir):
+    kv = table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    return rows.upsert(kv, kv.where("value = '2'").withColumn("value", F.lit("x")), "key")
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' AND value > 50 THEN event_id ELSE NULL END AS removed_at FROM events")
+def soft_delete(spark, sf_dir):
+    live = table(spark, sf_dir, "events").withColumn("removed_at", F.lit(None).cast("long"))
+    gone = rows.update(live, (F.col("event_type") == "error") & (F.col("value") > 50) & F.col("removed_at").isNull(), removed_at=F.col("event_id"))
+    return gone.select("event_id", "user_id", "removed_at")
+
+
+@query("SELECT n_nationkey, n_name || 'x' AS n_name FROM nation")
+def update_all(spark, sf_dir):
+    return rows.update(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.lit(True), n_name=F.concat("n_name", F.lit("x")))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderkey BETWEEN 200 AND 14800)")
+def delete_range(spark, sf_dir):
+    return log.delete_range(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 200, 14800)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey <> 7")
+def delete_pk(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey <> 7")
+
+
+_DUE = "l_quantity > 20 AND l_shipdate <= TIMESTAMP '1996-01-01 00:00:00'"
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {_DUE})")
+def drain_due(spark, sf_dir):
+    due = table(spark, sf_dir, "lineitem").where("l_quantity > 20 AND l_shipdate <= TIMESTAMP_NTZ '1996-01-01 00:00:00'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return rows.drain(table(spark, sf_dir, "orders").select("o_orderkey"), due, "o_orderkey")[0].agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+def drain_list(spark, sf_dir):
+    return rows.not_in(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", table(spark, sf_dir, "lineitem").where("l_quantity > 25"), "l_orderkey")
+
+
+# Triggers.
+
+
+@query("SELECT event_id, user_id, ts AS written_at, CAST(row_number() OVER w AS INTEGER) AS rev, lead(ts) OVER w AS removed_at FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def supersede(spark, sf_dir):
+    return rows.supersede(table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("written_at")), "user_id", "event_id", "written_at")
+
+
+@query("SELECT event_id, user_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE value < m")
+def monotonic_violations(spark, sf_dir):
+    return rows.monotonic_violations(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", "event_id", "value")
+
+
+@query("""WITH v AS (SELECT event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS removed_at FROM events)
+SELECT event_id AS record_id, 'INSERT' AS change_kind, CAST(0 AS BIGINT) AS not_before FROM v UNION ALL SELECT event_id, 'REMOVE', epoch_us(removed_at) FROM v WHERE removed_at IS NOT NULL""")
+def change_feed(spark, sf_dir):
+    versions = rows.supersede(table(spark, sf_dir, "events"), "user_id", "event_id", "ts")
+    return rows.feed_of(versions, "event_id")
+
+
+@query("""WITH v AS (SELECT event_id, event_type, lag(event_type) OVER w AS old, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id AS record_id, 'UPDATE' AS change_kind, CAST(0 AS BIGINT) AS not_before FROM v WHERE n > 1 AND event_type IS DISTINCT FROM old""")
+def change_feed_update(spark, sf_dir):
+    return rows.update_feed(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 6 <> 0)
+SELECT * FROM (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.v AS a_value, b.v AS b_value, CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b' WHEN a.v IS DISTINCT FROM b.v THEN 'differ' END AS status
+FROM a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey) WHERE status IS NOT NULL""")
+def version_diff(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("v"))
+    b = orders.where("o_orderkey % 6 <> 0").withColumn("v", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("v")))
+    return log.version_diff(orders.where("o_orderkey % 5 <> 0"), b, "o_orderkey", "v")
+
+
+@query("SELECT n_regionkey, coalesce(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey), '') AS digest FROM nation GROUP BY n_regionkey")
+def digest(spark, sf_dir):
+    return log.digest(table(spark, sf_dir, "nation"), "n_regionkey", F.concat(F.col("n_nationkey").cast("string"), F.lit(":"), F.col("n_name")), "n_nationkey")
+
+
+@query("SELECT coalesce(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey), '') AS digest FROM nation WHERE n_nationkey < 0")
+def digest_empty(spark, sf_dir):
+    return log.digest(table(spark, sf_dir, "nation").where("n_nationkey < 0"), None, F.concat(F.col("n_nationkey").cast("string"), F.lit(":"), F.col("n_name")), "n_nationkey")
+
+
+# What passes through to SQL.
+
+
+@query("WITH RECURSIVE r(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM r WHERE n < 50) SELECT CAST(max(total) AS INTEGER) AS total FROM r")
+def recursive_cte(spark, sf_dir):
+    return spark.sql("WITH RECURSIVE r(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM r WHERE n < 50) SELECT CAST(max(total) AS INT) AS total FROM r")
+
+
+@query("""SELECT r_name, count(*) AS n, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name HAVING count(*) > 1""")
+def join_agg(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("finished")).where("n > 1")
+
+
+@query("(SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer) EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 15 = 0")
+def setops(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    both = orders.select("k").union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+    return both.exceptAll(both.limit(0)).distinct().subtract(orders.where("o_orderstatus = 'F' AND k % 15 = 0").select("k"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def topk(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER v AS INTEGER) AS rk, CAST(dense_rank() OVER v AS INTEGER) AS dr, CAST(ntile(4) OVER w AS INTEGER) AS nt, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd,
+lag(event_type) OVER w AS prev, lead(event_type, 2, 'none') OVER w AS next2, first_value(event_type) OVER w AS fst, nth_value(event_type, 2) OVER w AS nth, count(*) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id), v AS (PARTITION BY user_id ORDER BY event_type)""")
+def window_suite(spark, sf_dir):
+    w, v = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy("event_type")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.row_number().over(w).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.ntile(4).over(w).alias("nt"), F.round(F.percent_rank().over(v), 9).alias("pr"), F.round(F.cume_dist().over(v), 9).alias("cd"),
+        F.lag("event_type").over(w).alias("prev"), F.lead("event_type", 2, "none").over(w).alias("next2"), F.first("event_type").over(w).alias("fst"), F.nth_value("event_type", 2).over(w).alias("nth"), F.count(F.lit(1)).over(w.rowsBetween(-3, 0)).alias("recent"),
+    )
+
+
+@query("""SELECT c_custkey, upper(c_name) AS up, length(c_name) AS n, substr(c_name, 1, 3) AS head, replace(c_name, '0', 'o') AS swapped, trim('  ' || c_mktsegment || ' ') AS seg, instr(c_name, '#') AS at, abs(c_acctbal) AS bal, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS other,
+CASE WHEN c_mktsegment ILIKE 'auto%' THEN 1 ELSE 0 END AS auto, CAST(floor(c_acctbal) AS BIGINT) AS fl, hex(c_name) AS hx FROM customer""")
+def scalar_suite(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    t.createOrReplaceTempView("_scalar_customer")
+    return spark.sql("""SELECT c_custkey, upper(c_name) AS up, CAST(length(c_name) AS BIGINT) AS n, substr(c_name, 1, 3) AS head, replace(c_name, '0', 'o') AS swapped, trim('  ' || c_mktsegment || ' ') AS seg, CAST(instr(c_name, '#') AS BIGINT) AS at, abs(c_acctbal) AS bal, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS other,
+        CASE WHEN c_mktsegment ILIKE 'auto%' THEN 1 ELSE 0 END AS auto, CAST(floor(c_acctbal) AS BIGINT) AS fl, hex(c_name) AS hx FROM _scalar_customer""")
+
+
+@query("SELECT o_orderpriority, CAST(total AS DOUBLE) AS total, mean, n FROM (SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean, count(*) AS n FROM orders GROUP BY o_orderpriority)")
+def total_avg(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"), F.round(F.avg("o_totalprice"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON c_custkey = o_custkey")
+def left_join(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    c = table(spark, sf_dir, "customer")
+    return c.join(orders, c.c_custkey == orders.o_custkey, "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey, (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS most FROM orders WHERE o_orderkey <= 500")
+def correlated_max(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 500").select("o_orderkey")
+    most = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500").groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"))
+    return orders.join(most, orders.o_orderkey == most.l_orderkey, "left").select("o_orderkey", "most")
+
+
+@query()
+def catalog(spark, sf_dir):
+    """The tables there are, by name."""
+    names = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+    made = spark.createDataFrame([("table", n) for n in names], "type string, name string")
+    return made.where("type = 'table'").select("name").orderBy("name")
