@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,6 +36,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects
+    its garbage, which by itself may be long after a large step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def packed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with its text compressed, to be shuffled; unpacked() gives a text back. Null stays null."""
+    at = docs.columns.index(text_col)
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            new = [None if x is None else press.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    prepare(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(packed: bytes | None) -> str | None:
+    import zstandard
+
+    return None if packed is None else zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -66,6 +100,12 @@ def empty_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def arrow_schema(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the text operators read, under fixed names whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

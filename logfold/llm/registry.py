@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logfold.llm import html_text, lines, packing, pii, quality, simhash, topk, toxicity
+from logfold.llm import html_text, lines, packing, pii, quality, simhash, suffixes, topk, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_lines": lines.op3_lines,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
     "op7_html": html_text.op7_html,
