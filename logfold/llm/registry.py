@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logfold.llm import html_text, lines, packing, pii, quality, simhash, suffixes, topk, toxicity
+from logfold.llm import bpe, html_text, lines, packing, pii, quality, simhash, suffixes, topk, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
     "op3_lines": lines.op3_lines,
     "op4_suffixes": suffixes.op4_suffixes,
