@@ -32,7 +32,7 @@ _SPACES = frozenset("br td th option wbr".split())
 _REGIONS = frozenset("article main section div body td".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing social related recommended footer masthead newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar".split())
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
 
 
@@ -87,10 +87,11 @@ class _Lines(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             names = [v for k, v in attrs if k in ("class", "id") and v] if tag == "article" else []
             return any(x.lower() in ("comment", "comments", "ad", "sponsored", "promo") for v in names for x in _NAME.findall(v))
-        if tag == "header" and not any(t in ("article", "main") for t, *_ in self.stack):
+        inside = any(t in ("article", "main") for t, *_ in self.stack)
+        if tag == "header" and not inside:
             return True
         for k, v in attrs:
-            if v and (k == "role" and v.lower() in _ROLES or k in ("class", "id") and any(x.lower() in _NAMES for x in _NAME.findall(v))):
+            if v and (k == "role" and v.lower() in _ROLES or k in ("class", "id") and any(x.lower() in _NAMES or x.lower() == "header" and not inside for x in _NAME.findall(v))):
                 return True
             if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True

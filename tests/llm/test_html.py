@@ -20,6 +20,7 @@ def clean(s):
         ("just text &amp; more", "just text & more"),
         (f"<html><head><title>t</title><style>p{{}}</style><script>var t='</p>'</script></head><body><nav><ul><li><a href=x>menu</a></ul></nav><!-- ad --><div class='ad'>Buy {LONG}</div><article><h1>Head</h1><p><b>One {LONG}<br><p>Two&nbsp;&#233;</p><p>3</p></article><footer>&copy; {LONG}</footer>", f"Head\n\n{clean('One ' + LONG)}\n\nTwo é\n\n3"),
         (f"<body><div id=sidebar><p>{LONG}</p></div><main><p>{LONG}</p><form><p>{LONG}</p></form><section class='comments'><p>{LONG}</p></section></main></body>", clean(LONG)),
+        (f"<div class=siteHeader><p>{LONG}</p></div><article><header class=header><h1>T</h1></header><p>{LONG}</p><div class=\"cookie-notice\"><p>{LONG}</p></div></article>", f"T\n\n{clean(LONG)}"),
         (f"<div><a href=1>Home</a> <a href=2>News</a></div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>(c) 2020</div>", f"{clean(LONG)}\n\nShort.\n\n{clean(LONG)}"),
     ],
 )
