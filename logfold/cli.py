@@ -122,6 +122,7 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="what", required=True)
     sub.add_parser("shell").add_argument("root")
     sub.add_parser("waldump").add_argument("path")
+    sub.add_parser("logdump").add_argument("path")
     d = sub.add_parser("dbdiff")
     d.add_argument("a")
     d.add_argument("b")
@@ -136,6 +137,11 @@ def main(argv: list[str] | None = None) -> None:
         print(wal.header(a.path))
         f = wal.frames(spark, a.path)
         print(format_table(f.select("frame_no", "pg_no", "n_truncate", pages.hex_window(f.data).alias("first_bytes")).orderBy("frame_no")))
+    elif a.what == "logdump":
+        from logfold.store import LogStore
+
+        found = LogStore(spark, a.path)
+        print(format_table(found.scan()) if found.bounds()[1] else "empty")
     elif a.what == "dbdiff":
         print(format_table(pages.diff(pages.pages(spark, a.a), pages.pages(spark, a.b)).orderBy("pg_no")))
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import threading
 import time
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logfold.model import CommitError, InvalidChangeError, LOG_SCHEMA, NotFoundError, StaleBaseError
 from logfold.operators import log
-from logfold.sources import entry as wire
+from logfold.sources import entry as wire, pages
 from logfold.table import DROP, KEEP, Table
 
 
@@ -117,12 +118,12 @@ class PageStore:
         e = wire.decode(raw)
         if (why := wire.problem(e)) is not None:
             raise InvalidChangeError(why)
-        pages = [(p["pg_no"], bytearray(p["data"]), KEEP, k) for k, p in enumerate(e["pages"])]
-        changes = self.spark.createDataFrame(pages, "pg_no long, data binary, _op string, _seq long")
+        rows = [(p["pg_no"], bytearray(p["data"]), KEEP, k) for k, p in enumerate(e["pages"])]
+        changes = self.spark.createDataFrame(rows, "pg_no long, data binary, _op string, _seq long")
         beyond = self.table.read(m.version).where(F.col("pg_no") > e["n_truncate"]).select("pg_no", "data", F.lit(DROP).alias("_op"), F.lit(2**40).alias("_seq"))
         own_beyond = changes.where(F.col("pg_no") > e["n_truncate"]).select("pg_no", "data", F.lit(DROP).alias("_op"), F.lit(2**41).alias("_seq"))
         self.table.commit(changes.unionByName(beyond).unionByName(own_beyond), m.version, e["id"], index=index)
-        self.changed += len(pages)
+        self.changed += len(rows)
         if self.changed >= self.options.compact_pages:
             self.table.compact()
             self.changed = 0
@@ -155,9 +156,9 @@ class PageStore:
         finally:
             self._lock.release()
 
-    def propose(self, entry_id: str, pages: list[tuple[int, bytes]], n_truncate: int, base: int | None = None) -> int:
+    def propose(self, entry_id: str, changed: list[tuple[int, bytes]], n_truncate: int, base: int | None = None) -> int:
         """The new applied index, or the error that the status stands for."""
-        status, last = self.handle(self.applied if base is None else base, wire.encode(entry_id, pages, n_truncate))
+        status, last = self.handle(self.applied if base is None else base, wire.encode(entry_id, changed, n_truncate))
         if status == "OK":
             return last
         code, safe = log.OUTCOMES[status]
@@ -165,6 +166,35 @@ class PageStore:
         error.status, error.code, error.safe_to_retry = status, code, safe
         raise error
 
+    def snapshot(self, path: str) -> int:
+        """Writes the image as a snapshot stream, a header with the applied index and the pages in order; gives the index.
+        A stream that could not be finished is removed."""
+        m = self.table.manifest()
+        temp = f"{path}.part"
+        try:
+            with open(temp, "wb") as f:
+                f.write(pages.snapshot_header(m.last_index))
+                for row in self.table.read(m.version).orderBy("pg_no").toLocalIterator():
+                    f.write(row.data)
+            os.replace(temp, path)
+        finally:
+            if os.path.exists(temp):
+                os.remove(temp)
+        return m.last_index
+
+    def restore(self, path: str) -> int:
+        """Replaces the image by a snapshot stream's, in one commit, and gives its applied index."""
+        last, image = pages.read_snapshot(self.spark, path)
+        m = self.table.manifest()
+        now = self.table.read(m.version)
+        size, old = (x.select(F.length("data")).first() for x in (image, now))
+        if size and old and size[0] != old[0]:
+            raise InvalidChangeError(f"pages of {size[0]} bytes do not fit an image of {old[0]}")
+        put = image.select("pg_no", "data", F.lit(KEEP).alias("_op"), F.lit(1).alias("_seq"))
+        gone = now.join(image.select("pg_no"), "pg_no", "left_anti").select("pg_no", "data", F.lit(DROP).alias("_op"), F.lit(0).alias("_seq"))
+        self.table.commit(put.unionByName(gone), m.version, index=last)
+        return last
+
     def catch_up(self, store: LogStore) -> int:
         """Applies what the log holds beyond the applied index, in order; a gap is an error."""
         rows = store.table.read().where(F.col("idx") > self.applied).orderBy("idx").toLocalIterator()

@@ -74,3 +74,17 @@ def test_catch_up_and_race(spark, tmp_path):
     [t.join() for t in threads]
     assert sorted(said)[0] == "OK" or "OK" in said
     assert said.count("OK") == 1 and set(said) <= {"OK", "STALE_BASE", "BUSY"}
+
+
+def test_snapshot_and_restore(spark, tmp_path):
+    first = bytearray(512)
+    first[16:18] = (512).to_bytes(2, "big")
+    a, b = PageStore(spark, f"{tmp_path}/a", 2), PageStore(spark, f"{tmp_path}/b", 2)
+    a.propose("1", [(1, bytes(first)), (2, b"x" * 512)], 2)
+    b.propose("1", [(k, b"y" * 512) for k in range(1, 5)], 4)
+    assert a.snapshot(f"{tmp_path}/snap") == 1 and b.restore(f"{tmp_path}/snap") == 1
+    assert image(a) == image(b) and b.applied == 1
+    c = PageStore(spark, f"{tmp_path}/c", 2)
+    c.propose("1", [(1, b"z" * 1024)], 1)
+    with pytest.raises(InvalidChangeError):
+        c.restore(f"{tmp_path}/snap")
