@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logfold.llm.common import arrow_map, prepare, stored, table
+from logfold.llm.common import arrow_map, arrow_schema, free_shuffles, packed_texts, prepare, stored, table, unpacked
 from logfold.llm.components import components
 
 SHINGLE = 8
@@ -32,6 +32,8 @@ BANDS = 12
 ROWS = 4
 #: Lines of a group that one task compares.
 GROUP = 2048
+#: Characters banded at a time, so that the arrays stay in a core's cache.
+BLOCK = 100_000
 #: Keys a task remembers so that a line it has met is not banded again.
 SEEN = 500_000
 
@@ -65,13 +67,14 @@ def bands(lines: list[str]) -> np.ndarray:
     """The band hashes of each line, a row for each band."""
     h, begins = _shingles(lines)
     low = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
+    mixed = np.empty_like(low)
     out = np.empty((BANDS, len(lines)), np.uint64)
     for b in range(BANDS):
         acc = np.full(len(lines), b + 1, np.uint64)
         for k in range(b * ROWS, (b + 1) * ROWS):
-            x = low * _A[k] + _B[k]
-            x ^= x >> np.uint32(15)
-            least = np.minimum.reduceat(x * _A[-1 - k], begins)
+            np.bitwise_xor(low, _B[k], out=mixed)
+            np.multiply(mixed, _A[k], out=mixed)
+            least = np.minimum.reduceat(mixed, begins)
             acc = (acc ^ least) * np.uint64(0xC4CEB9FE1A85EC53)
             acc ^= acc >> np.uint64(31)
         out[b] = acc
@@ -117,7 +120,7 @@ def _band_rows(docs: DataFrame) -> DataFrame:
             a = 0
             while a < len(lines):  # lines by bounded size too
                 b, size = a, 0
-                while b < len(lines) and (size < 1_000_000 or b == a):
+                while b < len(lines) and (size < BLOCK or b == a):
                     size += len(lines[b])
                     b += 1
                 got = bands(lines[a:b])
@@ -136,9 +139,10 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
         bucket, held = None, []
 
         def close() -> list[np.ndarray]:
-            got = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-            if len(got) < 2:
+            got = held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0, np.int64)
+            if len(got) < 2 or got[0] == got[-1]:  # in order, so all one line
                 return []
+            got = got[np.concatenate(([True], got[1:] != got[:-1]))]
             blocks = np.array_split(got, -(-len(got) // size))
             return [got] if len(blocks) < 3 else [np.concatenate((blocks[i], blocks[j])) for j in range(len(blocks)) for i in range(j)]
 
@@ -151,7 +155,7 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
             # buckets wholly inside the batch with one line are passed over at once
             starts = np.concatenate(([0], cuts))
             ends = np.concatenate((cuts, [len(keys)]))
-            many = (ends - starts > 1) | (starts == 0) | (ends == len(keys))
+            many = (lines[starts] != lines[ends - 1]) | (starts == 0) | (ends == len(keys))
             found = []
             for a, b in zip(starts[many].tolist(), ends[many].tolist()):
                 if keys[a] != bucket:
@@ -166,12 +170,20 @@ def _groups(docs: DataFrame, size: int) -> DataFrame:
     return spread.mapInArrow(run, "grp binary, lines array<long>").groupBy("grp").agg(F.first("lines").alias("lines"))
 
 
+#: A line's position: its document (the least long for a null id), the hash of the document's text, the line's number.
+POSITION = "struct<doc: bigint, copy: bigint, place: int>"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, doc_id, copy (hash of the text) and place of every line that is not white space."""
+    """key and position of every line that is not white space."""
 
-    def run(batch: pa.RecordBatch) -> dict | None:
-        out: dict[str, list] = {"key": [], "doc_id": [], "copy": [], "place": []}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"key": [], "doc": [], "copy": [], "place": []}
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 copy = text_hash(text)
                 for k, line in enumerate(text.split("\n")):
@@ -180,17 +192,39 @@ def occurrences(docs: DataFrame) -> DataFrame:
                             out[name].append(v)
         return out
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "key binary, doc_id long, copy long, place int")
+    return arrow_map(_numbered(docs), run, "key binary, doc long, copy long, place int").select("key", F.struct("doc", "copy", "place").alias("position"))
 
 
 def text_hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
 
 
-def _linked(lines: list[str], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among lines, breadth first; lengths bound the similarity before sets are met."""
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
     h, begins = _shingles(lines)
-    sets = [np.unique(x) for x in np.split(h, begins[1:])]
+    out = []
+    for x in np.split(h, begins[1:]):
+        x.sort()
+        new = np.empty(len(x), bool)
+        new[0] = True
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        out.append(x[new])
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = np.count_nonzero(a[at] == b)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among lines, breadth first; sizes bound the similarity before sets are met."""
+    if len(sets) == 2:
+        return [(0, 1)] if _near(*sets, similarity) else []
     size = np.array([len(x) for x in sets])
     left = np.argsort(size, kind="stable")
     edges: list[tuple[int, int]] = []
@@ -201,10 +235,11 @@ def _linked(lines: list[str], similarity: float) -> list[tuple[int, int]]:
             n = size[k]
             near = left[(size[left] >= similarity * n - 1e-9) & (similarity * size[left] <= n + 1e-9)]
             if len(near):
-                flat = np.concatenate([sets[j] for j in near])
+                flat = np.concatenate([sets[j] for j in near]) if len(near) > 1 else sets[near[0]]
                 at = np.searchsorted(sets[k], flat)
-                hit = sets[k][np.minimum(at, n - 1)] == flat
-                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size[near])[:-1])))
+                at[at == n] = 0
+                hit = sets[k][at] == flat
+                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
                 near = near[both >= similarity * (n + size[near] - both) - 1e-9]
                 edges += [(k, int(j)) for j in near]
                 queue += near.tolist()
@@ -213,48 +248,59 @@ def _linked(lines: list[str], similarity: float) -> list[tuple[int, int]]:
 
 
 def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """a, b: keys of lines joined by verified links."""
+    """a, b: first positions of lines joined by verified links."""
     groups = stored(_groups(docs, group), "line-groups")
+    free_shuffles(docs.sparkSession)
     members = groups.select("grp", F.explode("lines").alias("line"))
-    wanted = stored(firsts.withColumn("line", _short_column("key")).join(members.select("line").distinct(), "line", "left_semi"), "line-wanted")
-    by_doc = wanted.groupBy("doc_id", "copy").agg(F.collect_list("place").alias("places"))
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = firsts.withColumn("line", _short_column("key")).join(members.select("line").distinct(), "line", "left_semi")
+    by_doc = wanted.groupBy("position.doc").agg(F.collect_list(F.struct("position.copy", "position.place")).alias("places")).hint("merge")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"line": [], "key": [], "text": []}
-        for copy, text, places in zip(batch.column("copy").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-            if text_hash(text) == copy:
-                parts = text.split("\n")
-                for k in places:
-                    key = line_key(parts[k])
-                    for name, v in zip(out, (_short(key), key, parts[k].strip())):
+        out: dict[str, list] = {"line": [], "doc": [], "copy": [], "place": [], "text": []}
+        for doc, pressed, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "places"))):
+            text = unpacked(pressed)
+            copy, parts = text_hash(text), text.split("\n")
+            for p in places:
+                if p["copy"] == copy:
+                    line = parts[p["place"]].strip()
+                    for name, v in zip(out, (_short(line_key(line)), doc, copy, p["place"], line)):
                         out[name].append(v)
         return out
 
-    found = arrow_map(numbered.join(by_doc, "doc_id").select("copy", "text", "places"), cut, "line long, key binary, text string")
-    found = stored(found.dropDuplicates(["key"]), "line-texts")
+    found = arrow_map(packed_texts(_numbered(docs.where("text is not null"))).join(by_doc, "doc").select("doc", "text", "places"), cut, "line long, doc long, copy long, place int, text string")
+    found = stored(found.dropDuplicates(["doc", "copy", "place"]), "line-texts")
+    free_shuffles(docs.sparkSession)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, keys, lines = None, [], []
-
-        def close() -> pa.RecordBatch | None:
-            e = _linked(lines, similarity) if len(lines) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in e], pa.binary()), pa.array([keys[j] for _, j in e], pa.binary())], names=["a", "b"]) if e else None
+        held: list[tuple] = []  # whole groups, and the one that may go on
+
+        def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            sets = _sets([r[-1] for r in rows]) if len(rows) > 1 else []
+            a, out = 0, []
+            while a < len(sets):
+                b = a + 1
+                while b < len(rows) and rows[b][0] == rows[a][0]:
+                    b += 1
+                if b - a > 1:
+                    out += [(rows[a + i][1:4], rows[a + j][1:4]) for i, j in _linked(sets[a:b], similarity)]
+                a = b
+            if out:
+                position = pa.struct([("doc", pa.int64()), ("copy", pa.int64()), ("place", pa.int32())])
+                yield pa.RecordBatch.from_arrays([pa.array([dict(zip(("doc", "copy", "place"), e[k])) for e in out], position) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for g, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if g != grp:
-                    if (out := close()) is not None:
-                        yield out
-                    grp, keys, lines = g, [], []
-                keys.append(key)
-                lines.append(text)
-        if (out := close()) is not None:
-            yield out
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            last = len(held) - 1
+            while last and held[last - 1][0] == held[-1][0]:
+                last -= 1
+            if last:
+                yield from close(held[:last])
+                held = held[last:]
+        yield from close(held)
 
     prepare(docs.sparkSession)
-    met = members.join(found, "line").select("grp", "key", "text").repartition("grp").sortWithinPartitions("grp")
-    return met.mapInArrow(verify, "a binary, b binary").distinct()
+    met = members.join(found, "line").select("grp", "doc", "copy", "place", "text").repartition("grp").sortWithinPartitions("grp")
+    return met.mapInArrow(verify, f"a {POSITION}, b {POSITION}").distinct()
 
 
 def _short_column(key: str) -> Column:
@@ -264,34 +310,34 @@ def _short_column(key: str) -> Column:
 
 
 def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """doc_id, copy and places (sorted) of the lines that stay, for documents with any."""
-    where = F.struct("doc_id", "copy", "place")
-    firsts = stored(occurrences(docs).groupBy("key").agg(F.min(where).alias("first")).select("key", "first.*"), "line-firsts")
-    edges = links(docs, firsts, similarity, group)
-    found = components(edges)
-    firsts_of = found.join(firsts, found.node == firsts.key).select("component", "key", where.alias("first"))
-    head = firsts_of.groupBy("component").agg(F.min_by("key", "first").alias("head"))
-    gone = firsts_of.join(head, "component").where("key <> head").select("key")
-    return firsts.join(gone, "key", "left_anti").groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    """doc and lines: the hashes of its texts' copies with the places of the lines that stay, for documents with any."""
+    firsts = stored(occurrences(docs).groupBy("key").agg(F.min("position").alias("position")), "line-firsts")
+    found = components(links(docs, firsts, similarity, group))  # a component's smallest node is its first line
+    gone = found.where("node <> component").select(F.col("node").alias("position"))
+    left = firsts.select("position").join(gone, "position", "left_anti")
+    return left.groupBy("position.doc").agg(F.collect_list(F.struct("position.copy", "position.place")).alias("lines"))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """docs with only the kept lines (and the white-space lines) in its text, and n_lines_removed at the end."""
     names = list(docs.columns)
     at = names.index("text")
-    kept = kept_places(docs, similarity, group)
-    by_doc = kept.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("copy", "places"))).alias("_kept")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(by_doc, docs["doc_id"].cast("long") == by_doc["_doc"], "left").select(*[docs[f"`{c}`"] for c in names], "_kept")
+    kept = kept_places(docs, similarity, group).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines")).hint("merge")
+    free_shuffles(docs.sparkSession)
+    pressed = packed_texts(docs)
+    joined = pressed.join(kept, F.coalesce(pressed["doc_id"].cast("long"), F.lit(-(2**63))) == kept["_doc"], "left").select(*[pressed[f"`{c}`"] for c in names], "_lines")
+    kind = arrow_schema(docs).field(at).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             new, removed = [], []
-            for text, kept in zip(batch.column(at).to_pylist(), batch.column("_kept").to_pylist()):
+            for text, kept in zip(map(unpacked, batch.column(at).to_pylist()), batch.column("_lines").to_pylist()):
                 gone = 0
                 if text:
-                    stay = set(dict(kept or []).get(text_hash(text), ()))
+                    copy = text_hash(text)
+                    stay = {x["place"] for x in kept or () if x["copy"] == copy}
                     parts = text.split("\n")
                     left = [x for k, x in enumerate(parts) if k in stay or not x or x.isspace()]
                     gone = len(parts) - len(left)
@@ -299,8 +345,9 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -
                         text = "\n".join(left) if any(x and not x.isspace() for x in left) else ""
                 new.append(text)
                 removed.append(gone)
-            out = batch.select(names).set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(removed, pa.int64())], names=[*names, "n_lines_removed"])
+            columns = batch.select(names).columns
+            columns[at] = pa.array(new, kind)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "n_lines_removed"])
 
     prepare(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
