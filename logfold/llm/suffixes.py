@@ -11,7 +11,8 @@ Three steps bring every such string together without sorting the corpus's suffix
 3. The distinct segments of the remaining anchors are shards. Their transforms are merged: from the order of all suffixes
    by their first t symbols, the symbols before them give, stably sorted, the order by t + 1; a bit where neighbours differ
    marks the common prefix's end. Intervals left when the depth is the length asked for are the repeats, compared byte by
-   byte. Suffixes that stand alone, or end too soon, drop out at once; suffixes are never compared or sorted as strings.
+   byte. Suffixes that stand alone, or lead to no window whose rolling hash is met twice, drop out; suffixes are never
+   compared or sorted as strings.
    A symbol is eight bytes, so the depth is reached in a few dozen rounds.
 
 A common anchor costs one row per task when counted. Anchors with more than GROUP distinct segments are cut into blocks and
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logfold.llm.common import arrow_map, free_shuffles, packed_texts, prepare, stored, table, unpacked
+from logfold.llm.common import arrow_map, discard, free_shuffles, packed_texts, prepare, stored, table, unpacked
 
 LENGTH = 200
 #: Bytes of a k-mer (a power of two) and of a symbol of the transform; a length must be a multiple of the symbol.
@@ -71,35 +72,47 @@ def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return h[at[first]], first, last
 
 
+def _candidates(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Those starts whose window's rolling hash occurs twice: all repeats, and perhaps others."""
+    by = 0x9E3779B97F4A7C15
+    powers = np.cumprod(np.full(len(data), by, np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers)))
+    back = np.cumprod(np.full(len(data), pow(by, -1, 2**64), np.uint64))
+    h = (sums[starts + length] - sums[starts]) * back[starts]
+    _, kind, times = np.unique(h, return_inverse=True, return_counts=True)
+    return starts[times[kind] > 1]
+
+
 def repeated(strings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string the starts, in order, of its windows that occur elsewhere among the strings or in itself."""
+    """For each string the starts, in order, of its windows that occur elsewhere among the strings or in itself.
+
+    Only suffixes that lead to a candidate window are interleaved: at depth t those that begin length - t after one.
+    """
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64)
-    if len(data) < length:
-        return [np.zeros(0, np.int64)] * len(strings)
+    starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(len(data)) >= length)
+    starts = _candidates(data, starts, length)
+    if not len(starts):
+        return [starts] * len(strings)
     word, have = data, 1
     while have < SYMBOL:
         word = word[:-have] | (word[have:] << np.uint64(8 * have))
         have *= 2
-    left = np.repeat(ends, sizes) - np.arange(len(data))  # bytes from each place to its string's end
-    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    order = np.flatnonzero(left >= SYMBOL)
-    _, code = np.unique(word[order], return_inverse=True)
-    symbol = np.zeros(len(data), np.uint32)
-    symbol[order] = code
-    sort = _stable(symbol[order])
-    order, block = order[sort], symbol[order[sort]]
-    order, block = _shared(order, np.concatenate(([True], block[1:] != block[:-1])))
-    for _ in range(length // SYMBOL - 1):
-        before = place[order] >= SYMBOL
-        order, block = order[before] - SYMBOL, block[before]  # the interleave so far, read by the symbol before each suffix
-        if not len(order):
-            break
+    read = np.zeros(len(word), bool)
+    for d in range(0, length, SYMBOL):
+        read[starts + d] = True
+    symbol = np.zeros(len(word), np.uint32)
+    symbol[read] = np.unique(word[read], return_inverse=True)[1]
+    order, block = starts + length, np.zeros(len(starts), np.int64)  # the empty suffixes: one interval
+    for _ in range(length // SYMBOL):
+        order = order - SYMBOL  # the interleave so far, read by the symbol before each suffix
         now = symbol[order]
         sort = _stable(now)
         order, block, now = order[sort], block[sort], now[sort]
         order, block = _shared(order, np.concatenate(([True], (now[1:] != now[:-1]) | (block[1:] != block[:-1]))))
+        if not len(order):
+            break
     order.sort()
     cuts = np.searchsorted(order, ends)
     return [order[a:b] - s for a, b, s in zip([0, *cuts[:-1].tolist()], cuts.tolist(), (ends - sizes).tolist())]
@@ -155,6 +168,7 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
     kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     wanted = counts.join(kinds, "anchor").where("times > 1 or kinds > 1")
     found = stored(anchors.join(wanted, ["anchor", "content"]), "segments")
+    discard(anchors)
     free_shuffles(spark)
     full = found.where("times > 1").select("doc", "copy", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     shards = found.where("kinds > 1").groupBy("anchor", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "times", "doc", "copy", "first", "last")])
@@ -210,14 +224,15 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
             yield from close(held)
 
     parts = spread.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair").mapInArrow(merge, "doc long, copy long, start int, stop int")
-    return full.unionByName(parts)
+    ranges = stored(full.unionByName(parts), "ranges")
+    discard(found)
+    free_shuffles(spark)
+    return ranges
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int = LOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    ranges = stored(covered(docs, length, group, lot), "ranges")
-    free_shuffles(docs.sparkSession)
-    by_doc = ranges.distinct().groupBy("doc").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("ranges"))
+    by_doc = covered(docs, length, group, lot).distinct().groupBy("doc").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("ranges"))
     pressed = packed_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     joined = pressed.join(by_doc, F.coalesce("doc_id", F.lit(-(2**63))) == by_doc["doc"], "left").select("doc_id", "text", "ranges")
 
