@@ -56,3 +56,11 @@ def test_empty_log(spark):
 def test_scans_push_down(spark, tmp_path):
     plan = catalog.QUERIES["as_of_version"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(event_id,500)" in plan and "props" not in plan and "CartesianProduct" not in plan
+
+
+def test_catalog_lists_the_folder(spark, tmp_path):
+    assert [r.name for r in catalog.QUERIES["catalog"](spark, SF).collect()] == sorted(os.path.basename(p)[:-8] for p in glob.glob(f"{SF}/*.parquet"))
+    assert catalog.QUERIES["catalog"](spark, str(tmp_path)).count() == 0
+    for name in ("b.parquet", "a.parquet", "notes.txt", ".hidden.parquet"):
+        (tmp_path / name).mkdir()
+    assert [r.name for r in catalog.QUERIES["catalog"](spark, str(tmp_path)).collect()] == ["a", "b"]
