@@ -88,8 +88,8 @@ _ENDS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
 _AT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{{\s*(?:at|@)\s*\}}|<\s*(?:at|@)\s*>|\bat(?=\s+[A-Za-z0-9-]+\s*[\[({{<]\s*dot\s*[\])}}>])|\bat(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{1,6}}(?:{_ENDS})\b))\s*", re.I)
 _DOT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{{\s*(?:dot|\.)\s*\}}|<\s*(?:dot|\.)\s*>|\bdot(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{0,6}}(?:{_ENDS})\b))\s*", re.I)
 _AROUND_AT = re.compile(r"(?<!\s)\s+@\s+(?=[A-Za-z0-9-]+\s*\.)|(?<!\s)\s+@(?=[A-Za-z0-9-]+\.)")
-#: Texts without any of these hold no disguise. Letters with accents are not look-alikes.
-_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|\bdot\b|[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\s@|(?:\b(?:{_WORD})\b\W+){{3}}", re.I)
+#: What the transducers can rewrite has one of these; texts without any hold no disguise. Letters with accents are not look-alikes.
+_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|\bdot\b|[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\s@|(?:{_WORD})[ ,.-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{0,2}}(?:{_WORD})|\bplus [0-9]", re.I)
 
 _Tape = tuple[str, list[int], list[int], list[bool]]
 

@@ -71,3 +71,20 @@ def test_long_runs_take_linear_time():
 def test_redaction_keeps_the_rest():
     text = "to jane@example.com or 10.0.0.1."
     assert pii.redact(text, pii.base_spans(text)) == "to <EMAIL> or <IP>."
+
+
+PIECES = ["plus ", "Plus 44 ", "+1 ", "one", "Two ", "oh-", "four, ", "5", " 7 ", "20 7946 0958", "five.", " at ", " (at) ", "@", " @ ", " dot ", "[dot]", "jane", "shop", "com", " ", "\n", "．", "а", "."]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24).map("".join))
+def test_the_trigger_hides_no_span(text):
+    guarded = pii.hidden_spans(text, pii.base_spans(text))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "_TRIGGER", re.compile(""))
+        assert guarded == pii.hidden_spans(text, pii.base_spans(text))
+
+
+@pytest.mark.parametrize("text", ["plus 44 20 7946 0958", "+1 four 1 5 five 5 5 two 6 7 one"])
+def test_phones_without_other_disguises(text):
+    assert pii.hidden_spans(f"call {text} now", []) == [(5, 5 + len(text), "phone")]
