@@ -6,7 +6,8 @@ email at its @, the rest at digits or a plus sign, so that scanning a text is li
 Disguised identifiers are found by a chain of small transducers. Each rewrites the text left to right and carries, for
 every character it emits, where the source characters begin and end: homoglyphs (full-width and other compatibility forms,
 Cyrillic and Greek look-alikes next to Latin or digits) become ASCII, runs of spelled digits become digits, and the
-disguises of @ and of the dot become those signs. The base patterns are then run on the rewritten text and their spans
+disguises of @ and of the dot become those signs: after an @, however written, any last label of letters ends a domain,
+but a bare "at ... dot ..." that reads as prose ("look at the dot on") needs a last label of a fixed list. The base patterns are then run on the rewritten text and their spans
 mapped back. Found spans that meet a base span of their kind are not added. A rewritten match counts only if one of its
 characters was rewritten.
 
@@ -83,9 +84,19 @@ _WORD = "|".join(_SPELLED)
 _SPELLED_RUN = re.compile(rf"\b(?:{_WORD}|[0-9])(?:[ ,.-]{{0,2}}(?:{_WORD}|[0-9]))+\b", re.I)
 _ONE = re.compile(rf"{_WORD}|[0-9]", re.I)
 _PLUS = re.compile(r"\bplus (?=[0-9])", re.I)
-#: Written-out dots count only before these last labels of a domain.
+#: Last labels of a domain that count in any frame; where no at or dot frame is sure, only these count.
 _ENDS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
-_AT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{{\s*(?:at|@)\s*\}}|<\s*(?:at|@)\s*>|\bat(?=\s+[A-Za-z0-9-]+\s*[\[({{<]\s*dot\s*[\])}}>])|\bat(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{1,6}}(?:{_ENDS})\b))\s*", re.I)
+_END = re.compile(rf"(?:{_ENDS})\b", re.I)
+#: Words that make "at ... dot ..." read as prose: before the at, before the dot, and after it (country codes left out).
+_VERBS = re.compile(r"\b(?:look|star|point|gaz|glanc|aim|arriv|laugh|shout|smil|peer|peek|squint|swip|work|liv)(?:e|s|es|ed|d|ing)?$", re.I)
+_NOT_LABELS = frozenset("a an the this that these those each every any some one no its his her my our your their first last next second third single red green blue black white yellow big small tiny little polka quantum laser micro".split())
+_NOT_ENDS = frozenset("on of and or but is was were are the this that which with for from an if when where while then than there above below under over near before after into onto matrix product products pattern patterns plot plots size sizes".split())
+_AT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{{\s*(?:at|@)\s*\}}|<\s*(?:at|@)\s*>|\bat(?=\s+[A-Za-z0-9-]+\s*[\[({{<]\s*dot\s*[\])}}>])|(?:\bat|(?<=\s)@)(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{1,6}}[A-Za-z]{{2}}))\s*", re.I)
+_BARE = re.compile(r"((?:[A-Za-z0-9-]+\s+dot\s+){1,6})([A-Za-z]{2,24})(?![A-Za-z0-9])", re.I)
+_BARE_LISTED = re.compile(rf"(?:[A-Za-z0-9-]+\s+dot\s+){{1,6}}(?:{_ENDS})\b", re.I)
+#: A domain after an @ with dots written out, and those dots: any last label of letters counts there.
+_FRAMED = re.compile(r"@[A-Za-z0-9.-]+(?:(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[A-Za-z0-9-]+)+", re.I)
+_FRAMED_DOT = re.compile(r"\s*([\[({<]?)\s*(?:\bdot\b|(?<=[\[({<\s])\.)\s*[\])}>]?\s*(?=([A-Za-z0-9-]+))", re.I)
 _DOT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{{\s*(?:dot|\.)\s*\}}|<\s*(?:dot|\.)\s*>|\bdot(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{0,6}}(?:{_ENDS})\b))\s*", re.I)
 _AROUND_AT = re.compile(r"(?<!\s)\s+@\s+(?=[A-Za-z0-9-]+\s*\.)|(?<!\s)\s+@(?=[A-Za-z0-9-]+\.)")
 #: What the transducers can rewrite has one of these; texts without any hold no disguise. Letters with accents are not look-alikes.
@@ -146,6 +157,33 @@ def _sign(sign: str):
     return by
 
 
+def _at(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """The sign, unless a bare at reads as prose and no listed label ends its domain."""
+    if m[0].strip().lower() in ("at", "@") and (frame := _BARE.match(m.string, m.end())) and not _BARE_LISTED.match(m.string, m.end()):
+        labels = frame[1].lower().split()
+        if frame[2].lower() in _NOT_ENDS or labels[0] in _NOT_LABELS or _VERBS.search(m.string[max(0, m.start() - 24) : m.start()]):
+            return None
+    return _sign("@")(m)
+
+
+def _framed(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """The domain with its written-out dots as signs, up to the last label that can end one."""
+    dots = list(_FRAMED_DOT.finditer(m.string, m.start() + 1, m.end()))
+    while dots:
+        end = dots[-1][2]
+        if dots[-1][1] or _END.fullmatch(end) or re.fullmatch(r"[A-Za-z]{2,24}", end) and end.lower() not in _NOT_ENDS:
+            break
+        dots.pop()
+    if not dots:
+        return None
+    out, last = [], m.start()
+    for d in dots:
+        out += [(m.string[k], k, k + 1) for k in range(last, d.start())]
+        out += _sign(".")(d)
+        last = d.end()
+    return out + [(m.string[k], k, k + 1) for k in range(last, m.end())]
+
+
 _LOOKS = re.compile(f"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]")
 
 
@@ -154,8 +192,9 @@ def normalise(text: str) -> _Tape:
     n = len(text)
     tape: _Tape = (text, list(range(n)), list(range(1, n + 1)), [False] * n)
     tape = _rewrite(tape, _LOOKS, _alike)
-    tape = _rewrite(tape, _AT, _sign("@"))
+    tape = _rewrite(tape, _AT, _at)
     tape = _rewrite(tape, _AROUND_AT, _sign("@"))
+    tape = _rewrite(tape, _FRAMED, _framed)
     tape = _rewrite(tape, _DOT, _sign("."))
     tape = _rewrite(tape, _SPELLED_RUN, _spelled)
     return _rewrite(tape, _PLUS, _sign("+"))

@@ -88,3 +88,19 @@ def test_the_trigger_hides_no_span(text):
 @pytest.mark.parametrize("text", ["plus 44 20 7946 0958", "+1 four 1 5 five 5 5 two 6 7 one"])
 def test_phones_without_other_disguises(text):
     assert pii.hidden_spans(f"call {text} now", []) == [(5, 5 + len(text), "phone")]
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["jane at firma dot ch", "maria at libero dot it", "jan (at) firma dot nl", "x at shop dot com dot au", "jan [at] mail dot firma dot museum", "jan@firma dot nl", "jan @ firma dot nl", "jan (at) firma [dot] co dot jp", "jan at mail dot firma dot se"],
+)
+def test_any_last_label_ends_an_address(source):
+    text = f"Please write to {source}, thanks."
+    assert pii.hidden_spans(text, pii.base_spans(text)) == [(16, 16 + len(source), "email")]
+    text = f"Please write to {source} and wait."
+    assert pii.hidden_spans(text, pii.base_spans(text)) == [(16, 16 + len(source), "email")]
+
+
+@pytest.mark.parametrize("text", ["Look at the dot on the map.", "Staring at polka dot dresses.", "We met at a dot in space.", "She stood at position dot and left."])
+def test_prose_with_at_and_dot_is_left(text):
+    assert pii.hidden_spans(text, pii.base_spans(text)) == []
