@@ -2,7 +2,9 @@
 
 The standard library's parser streams its events into lines: a line is the text between two block boundaries, with the
 number of tags met in it, whether it stands in links, and the sectioning element (region) around it. Subtrees that are
-never content by their tag, role or class name (scripts, menus, forms, comments, ...) give no lines. Each line's ratio of
+never content by their tag (scripts, menus, ...) give no lines. Those set aside by role, form or a whole class or id name
+(comments, cookie-notice, siteHeader, but not has-sidebar or social-science) give none either, unless the page's only
+article or main element stands in them, or a form holds most of the page, or nothing else has any text. Each line's ratio of
 characters to tags, without link text, is smoothed by a Gaussian over its neighbours; two-means clustering of the ratios'
 logarithms gives the page's threshold. A region is content if its lines pass it, articles and main elements before any
 other region; a content region keeps all its lines, long or short, in page order.
@@ -26,42 +28,67 @@ from logfold.llm.common import arrow_map, table
 
 # Fixed element names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("head script style noscript template svg math canvas iframe object audio video nav footer aside form button select textarea menu dialog".split())
+_SKIPPED = frozenset("head script style noscript template svg math canvas iframe object audio video nav footer aside button select textarea menu dialog".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACES = frozenset("br td th option wbr".split())
 _REGIONS = frozenset("article main section div body td".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing social related recommended footer masthead newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar".split())
+_KEPT = frozenset("html body article main".split())
+_ARTICLE_NAMES = frozenset("comment comments ad sponsored promo".split())
+_OUTER_NAMES = _NAMES | {"header"}
+#: Words that go with those names in compounds.
+_BESIDE = frozenset("site page main top bottom left right primary secondary global header container wrapper wrap inner outer box block area zone list lists item items link links bar slot unit section post posts entry article articles story stories button buttons icon icons form google text x jp wp js sticky mobile desktop".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
 
 
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the white-space separated names is of names, alone or in a compound of such words only."""
+    for name in value.split():
+        words = {x.lower() for x in _NAME.findall(name)}
+        if words & names and words <= names | _BESIDE:
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Collects lines: text, tags, link characters and region."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
+        self.aside: list[int] = []  # per line, the innermost element set aside around it, 0 for none
+        self.asides: list[tuple[int, bool]] = [(0, False)]  # the one around each, and whether it is a form
         self.regions: list[tuple[str, int]] = [("body", 0)]  # tag and the region around it
-        self.stack: list[tuple[str, bool, int]] = []  # tag, skipped, region
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, skipped, region, set aside
+        self.parts: list[tuple[int, str, int]] = []  # set aside, text, link characters
+        self.tags = self.links = 0
 
     @property
     def _skipped(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
     @property
-    def _region(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
+    def _aside(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+    def _region(self, aside: int) -> int:
+        """The region at this place for text of an element set aside, or of none."""
+        for *_, region, own in reversed(self.stack):
+            if own == aside:
+                return region
+        return self.stack[-1][2] if aside and self.stack else 0
 
     def _break(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.linked, self._region))
-                self.tags = 0
-            self.parts, self.linked = [], 0
+            for aside in dict.fromkeys(x for x, *_ in self.parts):
+                text = " ".join("".join(t for x, t, _ in self.parts if x == aside).split())
+                if text:
+                    self.lines.append((text, self.tags, sum(n for x, _, n in self.parts if x == aside), self._region(aside)))
+                    self.aside.append(aside)
+                    self.tags = 0
+            self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -72,28 +99,29 @@ class _Lines(HTMLParser):
             if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self._close("li")
         elif tag in _SPACES:
-            self.parts.append(" ")
+            self.parts.append((self._aside, " ", 0))
         if tag in _VOID:
             return
-        skipped = self._skipped or tag in _SKIPPED or self._boilerplate(tag, attrs)
-        region = self._region
+        skipped = self._skipped or tag in _SKIPPED or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs if tag not in _KEPT)
+        aside = self._aside
+        if not skipped and (tag == "form" or self._boilerplate(tag, attrs)):
+            self.asides.append((aside, tag == "form"))
+            aside = len(self.asides) - 1
+        region = self.stack[-1][2] if self.stack else 0
         if tag in _REGIONS and not skipped:
             self.regions.append((tag, region))
             region = len(self.regions) - 1
         self.links += tag == "a"
-        self.stack.append((tag, skipped, region))
+        self.stack.append((tag, skipped, region, aside))
 
     def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            names = [v for k, v in attrs if k in ("class", "id") and v] if tag == "article" else []
-            return any(x.lower() in ("comment", "comments", "ad", "sponsored", "promo") for v in names for x in _NAME.findall(v))
+        if tag in _KEPT:
+            return tag == "article" and any(_named(v, _ARTICLE_NAMES) for k, v in attrs if k in ("class", "id") and v)
         inside = any(t in ("article", "main") for t, *_ in self.stack)
         if tag == "header" and not inside:
             return True
         for k, v in attrs:
-            if v and (k == "role" and v.lower() in _ROLES or k in ("class", "id") and any(x.lower() in _NAMES or x.lower() == "header" and not inside for x in _NAME.findall(v))):
-                return True
-            if k == "hidden" or k == "aria-hidden" and v == "true":
+            if v and (k == "role" and v.lower() in _ROLES or k in ("class", "id") and _named(v, _NAMES if inside else _OUTER_NAMES)):
                 return True
         return False
 
@@ -111,14 +139,61 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in _SPACES:
-            self.parts.append(" ")
+            self.parts.append((self._aside, " ", 0))
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
         if not self._skipped:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data.strip())
+            self.parts.append((self._aside, data, len(data.strip()) if self.links else 0))
+
+    def settle(self) -> None:
+        """Takes out the lines of the elements set aside, but for those that hold the main text; their tags count for the
+        next line that stays."""
+        if any(self.aside):
+            back = self._restored()
+            kept, tags = [], 0
+            stays = [True]
+            for k, (outer, _) in enumerate(self.asides[1:], 1):
+                stays.append(stays[outer] and k in back)
+            for (text, n, linked, region), x in zip(self.lines, self.aside):
+                tags += n
+                if stays[x]:
+                    kept.append((text, tags, linked, region))
+                    tags = 0
+            self.lines = kept
+
+    def _restored(self) -> set[int]:
+        """The elements set aside whose lines stay."""
+        own = [False]  # per region, whether it is or stands in an article or main element
+        for tag, outer in self.regions[1:]:
+            own.append(tag in ("article", "main") or own[outer])
+        total = [0] * len(self.asides)
+        ringed = [0] * len(self.asides)
+        for (text, *_, region), x in zip(self.lines, self.aside):
+            total[x] += len(text)
+            ringed[x] += own[region] * len(text)
+        live, live_ringed = total[0], ringed[0]
+        for k in range(len(total) - 1, 0, -1):  # inner before outer
+            total[self.asides[k][0]] += total[k]
+            ringed[self.asides[k][0]] += ringed[k]
+        if live_ringed:
+            return set()
+        tops = range(1, len(total))
+        best = max(tops, key=lambda k: (ringed[k], -k))  # the outermost of equals
+        if not ringed[best]:
+            best = max(tops, key=lambda k: (total[k], -k))
+            if live and not (self.asides[best][1] and 2 * total[best] > total[0]):
+                return set()
+        chain, at = set(), best
+        while at:
+            chain.add(at)
+            at = self.asides[at][0]
+        # down to the text, through wrappers set aside inside of it
+        wanted = {x for (*_, region), x in zip(self.lines, self.aside) if own[region] or not ringed[best]}
+        while not wanted & chain:
+            at = max((k for k in tops if self.asides[k][0] in chain and k not in chain), key=lambda k: (ringed[k], total[k], -k))
+            chain.add(at)
+        return chain
 
 
 def lines_of(html: str) -> _Lines:
@@ -126,6 +201,7 @@ def lines_of(html: str) -> _Lines:
     p.feed(html)
     p.close()
     p._break()
+    p.settle()
     return p
 
 

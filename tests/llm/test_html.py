@@ -36,3 +36,22 @@ def test_long_pages_take_linear_time():
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>a", "x"), (2, None, "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract_pages(pages).fillna("-").collect())) == [(1, "u", "", 0), (2, "-", "a", 1), (2, "-", "a", 1)]
+
+
+@pytest.mark.parametrize("wrap", ["div id='page' class='has-sidebar'", "div class='content no-sidebar'", "div class='with-nav'", "div class='ad-free'", "div class='social-science'", "section id=related-work", "form action=x", "div class='layout sidebar'", "div class='page-banner'"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_keep_the_main_text(wrap, inner):
+    html = f"<body><nav>menu</nav><{wrap}><{inner}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></{inner}><div class='cookie-notice'><p>{LONG}</p></div><div class='comment-list'><p>{LONG}</p></div></{wrap.split()[0]}></body>"
+    assert html_text.extract(html) == f"Head\n\n{clean(LONG)}\n\n{clean(LONG)}"
+
+
+def test_named_parts_beside_the_article_stay_out():
+    for name in ("related-posts", "siteHeader", "sidebar", "ad-slot", "main-nav", "share-buttons"):
+        html = f"<div class='{name}'><article><p>{LONG}</p></article></div><article><p>{LONG}</p><p>Says <span class=share>Share</span> it.</p></article>"
+        assert html_text.extract(html) == f"{clean(LONG)}\n\nSays it."
+
+
+def test_wrappers_in_wrappers():
+    html = f"<div class=sidebar><p>Bar</p><div class=banner><article><p>{LONG}</p></article></div></div>"
+    assert clean(LONG) in html_text.extract(html)
+    assert html_text.extract("<div class=ad><a href=x>Only link</a></div><div class=menu></div>") == ""
