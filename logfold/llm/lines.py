@@ -1,17 +1,22 @@
 """Line dedup (3): exact and fuzzy lines by MinHash, one line kept per component.
 
 A line is a part of a text between line breaks; lines of white space only are never removed. A line's key is a 128-bit
-hash of the line with white space trimmed. Lines of the same key are one line. Character-shingle MinHash signatures are
-cut into bands that find pairs at the threshold with high recall (above 0.998 each); lines that share a band form a group,
-the same group found by many bands is taken once, and each group's links are verified by the exact Jaccard similarity of
-the shingle sets. Only a spanning forest of the links is emitted. A group beyond GROUP lines is cut into blocks, and every
-two blocks meet, so no task holds an unbounded group and no pair is lost. Components are found by distributed rounds over
-keys; the first line (by doc_id, place) of each component stays, all others go.
+hash of the line with white space trimmed. Lines of the same key are one line. Character-shingle signatures (one
+permutation dealt into bins, empty bins filled from others, which has MinHash's collision odds) are cut into bands that find
+pairs at the threshold with high recall (above 0.998 each); lines that share a band form a group, the same group found by
+many bands is taken once, and each group's links are verified by the exact Jaccard similarity of the shingle sets. Only a
+spanning forest of the links is emitted. Components are found by distributed rounds over lines; the first line (by doc_id,
+text hash, place) of each component stays, all others go.
+
+Hot groups. A bucket that more than GROUP distinct lines share isn't compared in one task. All its lines meet PIVOTS of
+them, in tasks of bounded size; then those of its lines that aren't in its largest component so far take their turn as
+pivots, until each line is in that component or has met all others. Near copies in any number thus need a few passes that
+grow with their number, and no link is lost.
 
 Null texts stay null and count no lines. Empty texts stay. A text that loses all its lines becomes empty. Lines shorter
-than a shingle are one shingle. Whole texts are read. Rows that repeat a doc_id are told apart by their text's hash, and
-rows equal in both are copies whose lines go together. Columns beside doc_id and text are passed through. An empty table
-gives no rows.
+than a shingle are one shingle. Whole texts are read. Rows that repeat a doc_id (or have none) are told apart by their text's
+hash, and rows equal in both are copies whose lines go together. Columns beside doc_id and text are passed through. An empty
+table gives no rows. Beyond the exact step a line is known by 64 bits of its key.
 """
 
 from __future__ import annotations
@@ -21,24 +26,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from logfold.llm.common import arrow_map, arrow_schema, free_shuffles, packed_texts, prepare, stored, table, unpacked
+from logfold.llm.common import arrow_map, arrow_schema, discard, free_shuffles, prepare, stored, table
 from logfold.llm.components import components
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 4
-#: Lines of a group that one task compares.
-GROUP = 2048
-#: Characters banded at a time, so that the arrays stay in a core's cache.
+#: Distinct lines of a bucket that one task compares; lines that a hot bucket's other lines meet at a time.
+GROUP = 4096
+PIVOTS = 64
+#: Characters hashed at a time, so that the arrays stay in a core's cache.
 BLOCK = 100_000
 #: Keys a task remembers so that a line it has met is not banded again.
 SEEN = 500_000
+#: Bytes of band rows in a partition, and of a run of them that a task holds before it sets hot buckets apart.
+PART_BYTES = 16_000_000
+HELD_BYTES = 64_000_000
 
-_A = np.random.default_rng(7).integers(1, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_B = np.random.default_rng(8).integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_BINS = BANDS * ROWS
+_NONE = np.uint32(0xFFFFFFFF)
+#: Where an empty bin looks for a value, attempt by attempt.
+_DONORS = np.random.default_rng(7).integers(0, _BINS, (6 * _BINS, _BINS))
 
 
 def line_key(line: str) -> bytes:
@@ -50,11 +61,15 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [x.strip() for x in lines]
     parts = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in parts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(max(len(code) - SHINGLE + 1, 0), np.uint64)
-    for k in range(SHINGLE):
-        h = (h ^ code[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    h = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    step, by = 1, 0x9E3779B97F4A7C15
+    while step < SHINGLE:  # a polynomial by doubling
+        h = h[:-step] * np.uint64(by) + h[step:]
+        step, by = 2 * step, by * by % 2**64
+    for shift, mul in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(mul)
+    h ^= h >> np.uint64(32)
     ends = np.cumsum(sizes)
     keep = np.ones(len(h), bool)
     for k in range(1, SHINGLE):  # shingles that run over a line's end
@@ -66,19 +81,27 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def bands(lines: list[str]) -> np.ndarray:
     """The band hashes of each line, a row for each band."""
     h, begins = _shingles(lines)
-    low = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
-    mixed = np.empty_like(low)
-    out = np.empty((BANDS, len(lines)), np.uint64)
-    for b in range(BANDS):
-        acc = np.full(len(lines), b + 1, np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
-            np.bitwise_xor(low, _B[k], out=mixed)
-            np.multiply(mixed, _A[k], out=mixed)
-            least = np.minimum.reduceat(mixed, begins)
-            acc = (acc ^ least) * np.uint64(0xC4CEB9FE1A85EC53)
-            acc ^= acc >> np.uint64(31)
-        out[b] = acc
-    return out.view(np.int64)
+    n = len(lines)
+    cell = np.repeat(np.arange(0, n * _BINS, _BINS), np.diff(np.append(begins, len(h))))
+    cell += (((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)).view(np.int64)
+    least = np.full(n * _BINS, _NONE)
+    np.minimum.at(least, cell, h.astype(np.uint32))
+    least = least.reshape(n, _BINS)
+    short = np.flatnonzero((least == _NONE).any(axis=1))
+    own = least[short]
+    full = own.copy()
+    for donor in _DONORS:
+        empty = full == _NONE
+        if not empty.any():
+            break
+        np.copyto(full, own[:, donor], where=empty)
+    np.copyto(full, own.min(axis=1, keepdims=True), where=full == _NONE)
+    least[short] = full
+    acc = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
+    for k in range(ROWS):
+        acc = (acc ^ least[:, k::ROWS]) * np.uint64(0xC4CEB9FE1A85EC53)
+        acc ^= acc >> np.uint64(31)
+    return np.ascontiguousarray(acc.T)
 
 
 def _short(key: bytes) -> int:
@@ -100,8 +123,10 @@ def _chunked(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Itera
         yield lot
 
 
-def _band_rows(docs: DataFrame) -> DataFrame:
-    """bucket and line (the first 64 bits of the key), once in a task for each line it meets."""
+def _band_runs(docs: DataFrame, parts: int) -> DataFrame:
+    """part and run: packed rows of bucket and line (the first 64 bits of the key) for each range of buckets, each line once
+    in a task. Packing spares a row for each of a line's bands."""
+    kind = np.dtype([("bucket", "<u8"), ("line", "<i8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -117,88 +142,126 @@ def _band_rows(docs: DataFrame) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             keys, lines = list(new), list(new.values())
-            a = 0
-            while a < len(lines):  # lines by bounded size too
+            met, a = [], 0
+            while a < len(lines):
                 b, size = a, 0
                 while b < len(lines) and (size < BLOCK or b == a):
                     size += len(lines[b])
                     b += 1
-                got = bands(lines[a:b])
-                ids = np.fromiter(map(_short, keys[a:b]), np.int64, b - a)
-                yield pa.RecordBatch.from_pydict({"bucket": got.ravel(), "line": np.tile(ids, BANDS)})
+                met.append(bands(lines[a:b]))
                 a = b
-
-    return docs.select("text").mapInArrow(run, "bucket long, line long")
-
-
-def _groups(docs: DataFrame, size: int) -> DataFrame:
-    """grp and lines: arrays of at most 2 * size lines that share a band; each group once, though many bands find it."""
-    spread = _band_rows(docs).repartition("bucket").sortWithinPartitions("bucket", "line")
+            if met:
+                ids = np.fromiter(map(_short, keys), np.int64, len(keys))
+                rows = np.empty(BANDS * len(keys), kind)
+                rows["bucket"], rows["line"] = np.concatenate(met, axis=1).ravel(), np.tile(ids, BANDS)
+                part = (rows["bucket"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                order = np.argsort(part.astype(np.uint32), kind="stable")
+                rows, part = rows[order], part[order]
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                starts = np.concatenate(([0], cuts))
+                yield pa.RecordBatch.from_pydict({"part": part[starts].astype(np.int32), "run": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "part int, run binary")
+
+
+def _groups(docs: DataFrame, size: int, n_lines: int) -> DataFrame:
+    """grp and lines: two to ``size`` lines that share a band, or one line of a hot bucket (hot is true).
+
+    A task's run of rows is bounded by the number of partitions, which grows with the lines; a hot bucket's rows go out as
+    soon as the run is too long.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-n_lines * BANDS * 16 // PART_BYTES))
+    spread = _band_runs(docs, parts).repartition(parts, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-
-        def close() -> list[np.ndarray]:
-            got = held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0, np.int64)
-            if len(got) < 2 or got[0] == got[-1]:  # in order, so all one line
-                return []
-            got = got[np.concatenate(([True], got[1:] != got[:-1]))]
-            blocks = np.array_split(got, -(-len(got) // size))
-            return [got] if len(blocks) < 3 else [np.concatenate((blocks[i], blocks[j])) for j in range(len(blocks)) for i in range(j)]
-
-        def rows(found: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"grp": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), "lines": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
+        part, held, room = None, [], 0
+        hot: set[int] = set()
+
+        def hot_rows(buckets: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+            n = len(lines)
+            ids = pa.array([int(x).to_bytes(8, "little") for x in buckets], pa.binary())
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(lines))
+            return pa.RecordBatch.from_arrays([ids, flat, pa.array(np.ones(n, bool))], names=["grp", "lines", "hot"])
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            """The groups of the rows held; unless last, only those of hot buckets, and the others stay held."""
+            nonlocal held, room
+            rows = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
+            order = np.argsort(rows[:, 0], kind="stable") if last else np.lexsort((rows[:, 1], rows[:, 0]))
+            bucket, line = rows[order, 0], rows[order, 1].view(np.int64)
+            if last and hot:
+                more = np.isin(bucket, np.fromiter(hot, np.uint64, len(hot)))
+                if more.any():
+                    yield hot_rows(bucket[more], line[more])
+                    bucket, line = bucket[~more], line[~more]
+            if not last:
+                new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (line[1:] != line[:-1])))
+                bucket, line = bucket[new], line[new]
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
+            if last:
+                wide = ends - starts > 1
+                found = []
+                for a, b in zip(starts[wide].tolist(), ends[wide].tolist()):
+                    got = np.unique(line[a:b])
+                    if len(got) > size:
+                        yield hot_rows(np.full(len(got), bucket[a]), got)
+                    elif len(got) > 1:
+                        found.append(got)
+                if found:
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), lists, pa.array(np.zeros(len(found), bool))], names=["grp", "lines", "hot"])
+                held, room = [], 0
+                return
+            much = ends - starts > size
+            hot.update(bucket[starts[much]].tolist())
+            out = np.repeat(np.isin(bucket[starts], np.fromiter(hot, np.uint64, len(hot))), ends - starts)
+            if out.any():
+                yield hot_rows(bucket[out], line[out])
+            held = [np.stack((bucket[~out], line[~out].view(np.uint64)), axis=1).tobytes()]
+            room = len(held[0])
 
         for batch in batches:
-            keys, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            # buckets wholly inside the batch with one line are passed over at once
-            starts = np.concatenate(([0], cuts))
-            ends = np.concatenate((cuts, [len(keys)]))
-            many = (lines[starts] != lines[ends - 1]) | (starts == 0) | (ends == len(keys))
-            found = []
-            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                if keys[a] != bucket:
-                    found += close()
-                    bucket, held = keys[a], []
-                held.append(lines[a:b])
-            if found:
-                yield rows(found)
-        if found := close():
-            yield rows(found)
-
-    return spread.mapInArrow(run, "grp binary, lines array<long>").groupBy("grp").agg(F.first("lines").alias("lines"))
-
-
-#: A line's position: its document (the least long for a null id), the hash of the document's text, the line's number.
-POSITION = "struct<doc: bigint, copy: bigint, place: int>"
+            for p, run_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part:
+                    if held:
+                        yield from close(True)
+                    part, hot = p, set()
+                held.append(run_)
+                room += len(run_)
+                if room > HELD_BYTES:
+                    yield from close(False)
+        if held:
+            yield from close(True)
+
+    return spread.mapInArrow(run, "grp binary, lines array<long>, hot boolean")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text")
+    """doc (the least long for a null id), copy (its text's hash) and text: rows equal in the first two are copies."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key and position of every line that is not white space."""
+    """key and position (doc, copy, place) of every line that is not white space."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"key": [], "doc": [], "copy": [], "place": []}
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+        keys, at, place = [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
             if text:
-                copy = text_hash(text)
                 for k, line in enumerate(text.split("\n")):
                     if line and not line.isspace():
-                        for name, v in zip(out, (line_key(line), doc, copy, k)):
-                            out[name].append(v)
-        return out
+                        keys.append(line_key(line))
+                        at.append(row)
+                        place.append(k)
+        return {"key": keys, "doc": batch.column("doc").take(at), "copy": batch.column("copy").take(at), "place": place}
 
     return arrow_map(_numbered(docs), run, "key binary, doc long, copy long, place int").select("key", F.struct("doc", "copy", "place").alias("position"))
 
 
-def text_hash(text: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
-
-
 def _sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted distinct shingles of each line."""
     h, begins = _shingles(lines)
@@ -212,19 +275,8 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
-        return False
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    both = np.count_nonzero(a[at] == b)
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
 def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines, breadth first; sizes bound the similarity before sets are met."""
-    if len(sets) == 2:
-        return [(0, 1)] if _near(*sets, similarity) else []
     size = np.array([len(x) for x in sets])
     left = np.argsort(size, kind="stable")
     edges: list[tuple[int, int]] = []
@@ -232,75 +284,189 @@ def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             k = queue.pop()
-            n = size[k]
-            near = left[(size[left] >= similarity * n - 1e-9) & (similarity * size[left] <= n + 1e-9)]
-            if len(near):
-                flat = np.concatenate([sets[j] for j in near]) if len(near) > 1 else sets[near[0]]
-                at = np.searchsorted(sets[k], flat)
-                at[at == n] = 0
-                hit = sets[k][at] == flat
-                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
-                near = near[both >= similarity * (n + size[near] - both) - 1e-9]
-                edges += [(k, int(j)) for j in near]
-                queue += near.tolist()
-                left = left[~np.isin(left, near, assume_unique=True)]
+            near = _near(sets, size, k, left, similarity)
+            edges += [(k, int(j)) for j in near]
+            queue += near.tolist()
+            left = left[~np.isin(left, near, assume_unique=True)]
     return edges
 
 
-def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """a, b: first positions of lines joined by verified links."""
-    groups = stored(_groups(docs, group), "line-groups")
-    free_shuffles(docs.sparkSession)
-    members = groups.select("grp", F.explode("lines").alias("line"))
-    wanted = firsts.withColumn("line", _short_column("key")).join(members.select("line").distinct(), "line", "left_semi")
-    by_doc = wanted.groupBy("position.doc").agg(F.collect_list(F.struct("position.copy", "position.place")).alias("places")).hint("merge")
+def _near(sets: list[np.ndarray], size: np.ndarray, k: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the others that line k links to."""
+    n = size[k]
+    near = others[(size[others] >= similarity * n - 1e-9) & (similarity * size[others] <= n + 1e-9)]
+    if not len(near):
+        return near
+    flat = np.concatenate([sets[j] for j in near]) if len(near) > 1 else sets[near[0]]
+    at = np.searchsorted(sets[k], flat)
+    at[at == n] = 0
+    hit = sets[k][at] == flat
+    both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+    return near[both >= similarity * (n + size[near] - both) - 1e-9]
+
+
+def _star(lines: list[str], begins: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of every line with the first line of its group; groups begin at ``begins``. All groups at
+    once: a group's number stands in front of its shingles, which are sorted and met in one array."""
+    h, first = _shingles(lines)
+    n = len(lines)
+    bits = np.uint64(64 - n.bit_length())
+    keys = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(first, len(h)))) << bits) | (h >> (np.uint64(64) - bits))
+    keys.sort()
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    size = np.bincount((keys >> bits).view(np.int64), minlength=n)
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    group = np.zeros(n, np.int64)
+    group[begins[1:]] = 1
+    head = begins[np.cumsum(group)]  # each line's first line
+    others = np.flatnonzero(head != np.arange(n))
+    out = np.ones(n)
+    if len(others):
+        mask = (np.uint64(1) << bits) - np.uint64(1)
+        parts = []
+        for side in (others, head[others]):
+            count = size[side]
+            at = np.repeat(first[side] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            parts.append((np.repeat(np.arange(len(others), dtype=np.uint64), count) << bits) | (keys[at] & mask))
+        met = np.concatenate(parts)
+        met.sort()
+        both = np.bincount((met[1:][met[1:] == met[:-1]] >> bits).view(np.int64), minlength=len(others))
+        out[others] = both / (size[others] + size[head[others]] - both)
+    return out
+
+
+def _verified(rows: list[tuple[bytes, int, str]], similarity: float) -> list[tuple[int, int]]:
+    """Links of whole groups (grp, line, text, in order of grp): by stars, and in full where a star leaves a line out."""
+    out: list[tuple[int, int]] = []
+    a = 0
+    while a < len(rows):
+        b, size, begins = a, 0, []
+        while b < len(rows) and (size < BLOCK or rows[b][0] == rows[b - 1][0]):
+            if b == a or rows[b][0] != rows[b - 1][0]:
+                begins.append(b - a)
+            size += len(rows[b][2])
+            b += 1
+        lot = rows[a:b]
+        near = _star([r[2] for r in lot], np.array(begins)) >= similarity - 1e-9
+        for i, j in zip(begins, [*begins[1:], len(lot)]):
+            if j - i == 2 or near[i:j].all():
+                out += [(lot[i][1], lot[k][1]) for k in range(i + 1, j) if near[k]]
+            else:
+                out += [(lot[i + x][1], lot[i + y][1]) for x, y in _linked(_sets([r[2] for r in lot[i:j]]), similarity)]
+        a = b
+    return out
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+    """a, b: lines (64 bits of the key) joined by verified links, in a stored table."""
+    spark = docs.sparkSession
+    prepare(spark)
+    groups = stored(_groups(docs, group, firsts.count()), "line-groups")
+    free_shuffles(spark)
+    members = groups.where("not hot").groupBy("grp").agg(F.first("lines").alias("lines")).select("grp", F.explode("lines").alias("line"))
+    hot = groups.where("hot").select("grp", F.col("lines")[0].alias("line"))
+    wanted = firsts.join(groups.select(F.explode("lines").alias("line")).distinct(), "line", "left_semi")
+    by_doc = wanted.groupBy("position.doc", "position.copy").agg(F.collect_list("position.place").alias("places")).hint("shuffle_hash")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"line": [], "doc": [], "copy": [], "place": [], "text": []}
-        for doc, pressed, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "places"))):
-            text = unpacked(pressed)
-            copy, parts = text_hash(text), text.split("\n")
+        out: dict[str, list] = {"line": [], "text": []}
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            parts = text.split("\n")
             for p in places:
-                if p["copy"] == copy:
-                    line = parts[p["place"]].strip()
-                    for name, v in zip(out, (_short(line_key(line)), doc, copy, p["place"], line)):
-                        out[name].append(v)
+                line = parts[p].strip()
+                out["line"].append(_short(line_key(line)))
+                out["text"].append(line)
         return out
 
-    found = arrow_map(packed_texts(_numbered(docs.where("text is not null"))).join(by_doc, "doc").select("doc", "text", "places"), cut, "line long, doc long, copy long, place int, text string")
-    found = stored(found.dropDuplicates(["doc", "copy", "place"]), "line-texts")
-    free_shuffles(docs.sparkSession)
+    texts = arrow_map(_numbered(docs.where("text is not null")).join(by_doc, ["doc", "copy"]).select("text", "places"), cut, "line long, text string")
+    found = stored(texts.dropDuplicates(["line"]), "line-texts")
+    free_shuffles(spark)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, and the one that may go on
-
-        def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            sets = _sets([r[-1] for r in rows]) if len(rows) > 1 else []
-            a, out = 0, []
-            while a < len(sets):
-                b = a + 1
-                while b < len(rows) and rows[b][0] == rows[a][0]:
-                    b += 1
-                if b - a > 1:
-                    out += [(rows[a + i][1:4], rows[a + j][1:4]) for i, j in _linked(sets[a:b], similarity)]
-                a = b
-            if out:
-                position = pa.struct([("doc", pa.int64()), ("copy", pa.int64()), ("place", pa.int32())])
-                yield pa.RecordBatch.from_arrays([pa.array([dict(zip(("doc", "copy", "place"), e[k])) for e in out], position) for k in (0, 1)], names=["a", "b"])
-
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
             last = len(held) - 1
             while last and held[last - 1][0] == held[-1][0]:
                 last -= 1
             if last:
-                yield from close(held[:last])
+                yield _edges(_verified(held[:last], similarity))
                 held = held[last:]
-        yield from close(held)
+        if held:
+            yield _edges(_verified(held, similarity))
+
+    met = members.join(found, "line").select("grp", "line", "text").repartition("grp").sortWithinPartitions("grp")
+    edges = stored(met.mapInArrow(verify, "a long, b long").distinct(), "line-links")
+    if not hot.isEmpty():
+        edges = _hot_links(hot.distinct(), found, edges, similarity, group, pivots)
+    discard(groups)
+    discard(found)
+    return edges
 
-    prepare(docs.sparkSession)
-    met = members.join(found, "line").select("grp", "doc", "copy", "place", "text").repartition("grp").sortWithinPartitions("grp")
-    return met.mapInArrow(verify, f"a {POSITION}, b {POSITION}").distinct()
+
+def _hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, similarity: float, group: int, pivots: int) -> DataFrame:
+    """edges and the links within hot buckets (grp, line), found by pivots round after round."""
+    spark = hot.sparkSession
+    rows = stored(hot, "hot-lines")
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
+    spread = rows.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("line"), "salts").cast("int"))
+    members = stored(spread.join(found, "line").select("grp", "salt", "line", "text", F.lit(False).alias("pivot")), "hot-members")
+    deal = members.select("grp", "salt").distinct()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, sets = None, [], []
+        for batch in batches:
+            out, rest = [], []
+            for grp, salt, line, text, pivot in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, salt) != at:
+                    out += _against(sets, heads, rest, similarity)
+                    at, heads, sets, rest = (grp, salt), [], [], []
+                if pivot:
+                    heads.append(line)
+                    sets += _sets([text])
+                else:
+                    rest.append((line, text))
+            out += _against(sets, heads, rest, similarity)
+            yield _edges(out)
+
+    done = None
+    while True:
+        comp = components(edges)
+        placed = rows.join(comp, F.col("line") == comp["node"], "left").select("grp", "line", F.coalesce("component", "line").alias("component"))
+        placed = stored(placed, "hot-placed")
+        most = placed.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+        turn = placed.join(most, "grp").where("component <> largest")
+        if done is not None:
+            turn = turn.join(done, ["grp", "line"], "left_anti")
+        first = turn.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("line"))).where(F.col("nth") <= pivots).select("grp", "line")
+        first = stored(first, "hot-turn")
+        discard(placed)
+        if first.isEmpty():
+            return edges
+        done = first if done is None else done.unionByName(first)
+        heads = first.join(found, "line").join(deal, "grp").select("grp", "salt", "line", "text", F.lit(True).alias("pivot"))
+        met = heads.unionByName(members).repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.desc("pivot"))
+        after = stored(edges.unionByName(met.mapInArrow(meet, "a long, b long")).distinct(), "line-links")
+        discard(edges)
+        edges = after
+        free_shuffles(spark)
+
+
+def _against(sets: list[np.ndarray], heads: list[int], rest: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
+    """Links of pivots with other lines."""
+    if not heads or not rest:
+        return []
+    met = _sets([t for _, t in rest])
+    size = np.array([len(x) for x in met] + [0])
+    others, out = np.arange(len(rest)), []
+    for head, own in zip(heads, sets):
+        size[-1] = len(own)
+        out += [(head, rest[j][0]) for j in _near([*met, own], size, len(rest), others, similarity).tolist() if rest[j][0] != head]
+    return out
 
 
 def _short_column(key: str) -> Column:
@@ -309,23 +475,28 @@ def _short_column(key: str) -> Column:
     return F.conv(F.concat(*octets), 16, -10).cast("long")
 
 
-def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """doc and lines: the hashes of its texts' copies with the places of the lines that stay, for documents with any."""
-    firsts = stored(occurrences(docs).groupBy("key").agg(F.min("position").alias("position")), "line-firsts")
-    found = components(links(docs, firsts, similarity, group))  # a component's smallest node is its first line
-    gone = found.where("node <> component").select(F.col("node").alias("position"))
+def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+    """doc, copy and the places of the lines that stay, for documents with any."""
+    firsts = stored(occurrences(docs).groupBy("key").agg(F.min("position").alias("position")).select(_short_column("key").alias("line"), "position"), "line-firsts")
+    free_shuffles(docs.sparkSession)
+    edges = links(docs, firsts, similarity, group, pivots)
+    found = components(edges)
+    discard(edges)
+    lines = firsts.join(found, F.col("line") == F.col("node")).select("component", "position")
+    stays = lines.groupBy("component").agg(F.min("position").alias("position"))
+    gone = lines.join(stays, ["component", "position"], "left_anti").select("position")
     left = firsts.select("position").join(gone, "position", "left_anti")
-    return left.groupBy("position.doc").agg(F.collect_list(F.struct("position.copy", "position.place")).alias("lines"))
+    return left.groupBy("position.doc", "position.copy").agg(F.collect_list("position.place").alias("places"))
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
     """docs with only the kept lines (and the white-space lines) in its text, and n_lines_removed at the end."""
     names = list(docs.columns)
     at = names.index("text")
-    kept = kept_places(docs, similarity, group).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines")).hint("merge")
+    kept = kept_places(docs, similarity, group, pivots).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("places").alias("_places")).hint("shuffle_hash")
     free_shuffles(docs.sparkSession)
-    pressed = packed_texts(docs)
-    joined = pressed.join(kept, F.coalesce(pressed["doc_id"].cast("long"), F.lit(-(2**63))) == kept["_doc"], "left").select(*[pressed[f"`{c}`"] for c in names], "_lines")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == kept["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == kept["_copy"])
+    joined = docs.join(kept, same, "left").select(*[docs[f"`{c}`"] for c in names], "_places")
     kind = arrow_schema(docs).field(at).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,11 +504,10 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -
             if not batch.num_rows:
                 continue
             new, removed = [], []
-            for text, kept in zip(map(unpacked, batch.column(at).to_pylist()), batch.column("_lines").to_pylist()):
+            for text, places in zip(batch.column(at).to_pylist(), batch.column("_places").to_pylist()):
                 gone = 0
                 if text:
-                    copy = text_hash(text)
-                    stay = {x["place"] for x in kept or () if x["copy"] == copy}
+                    stay = set(places or ())
                     parts = text.split("\n")
                     left = [x for k, x in enumerate(parts) if k in stay or not x or x.isspace()]
                     gone = len(parts) - len(left)

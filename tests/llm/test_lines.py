@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from logfold.llm import lines
 
 
@@ -12,7 +14,7 @@ def shingles(x):
 def brute(rows):
     """doc_id, new text by exhaustive comparison; rows sorted as the operator orders first lines."""
     first, sets = {}, {}
-    for doc, text in sorted(((d, t) for d, t in rows if t), key=lambda r: (r[0], lines.text_hash(r[1]))):
+    for doc, text in sorted(((d, t) for d, t in rows if t), key=lambda r: r[0]):
         for k, line in enumerate(text.split("\n")):
             if line.strip():
                 first.setdefault(line.strip(), (doc, k))
@@ -71,10 +73,32 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_group_in_blocks(spark):
+def test_hot_bucket_by_pivots(spark, monkeypatch):
     base = " ".join(f"word{k}" for k in range(60))
     rows = [(d, base.replace(f"word{d} ", f"other{d} ")) for d in range(50)]
-    assert run(spark, rows, group=8) == brute(rows)
+    rows += [(100 + d, " ".join(f"word{k}" for k in range(d, 40 + d))) for d in range(40)]  # a chain: far ends don't link
+    assert run(spark, rows, group=8, pivots=3) == brute(rows)
+    monkeypatch.setattr(lines, "HELD_BYTES", 256)  # hot rows go out before the run is read
+    assert run(spark, rows, group=8, pivots=3) == brute(rows)
+
+
+def test_stars_equal_sets():
+    r = random.Random(9)
+    parts = [["".join(r.choice("abc") for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 5))] for _ in range(40)]
+    begins = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    got = lines._star([x for p in parts for x in p], np.array(begins))
+    want = [len(shingles(p[0].strip()) & shingles(x.strip())) / len(shingles(p[0].strip()) | shingles(x.strip())) for p in parts for x in p]
+    assert np.allclose(got, want)
+
+
+def test_rows_without_ids_take_no_longer(spark):
+    """Rows that share an id are joined by their texts' hashes, so each row meets its own lines only."""
+    rows = [(None, f"line {d} of many\nshared line of text here") for d in range(400)] + [(7, f"row {d}") for d in range(50)] + [(7, "row 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lines.dedup(docs).collect()
+    assert len(out) == len(rows)
+    assert sum("shared line" in r.text for r in out) == 1
+    assert sum(r.text == "row 1" for r in out if r.doc_id == 7) == 2  # copies keep their lines together
 
 
 def test_empty_table(spark):
