@@ -2,9 +2,13 @@
 
 Documents become token ids and one end id; a document longer than a sequence is cut so that its last pieces are full.
 Only the histogram of piece lengths (as many rows as a sequence has tokens, whatever the corpus) goes to the driver. There
-the configuration program (least number of patterns that cover the histogram) is solved by multiplicative weights: prices
-per length, patterns priced by a knapsack dynamic program, prices raised where the patterns so far cover too little. The
-fractional solution is rounded down to whole patterns and the rest is placed best-fit decreasing.
+the configuration program (least number of patterns that cover the histogram) is solved by multiplicative weights. Every
+length has a price, at first its share of a sequence, and every pattern of a pool a weight, which is an exponential of its
+price. A knapsack dynamic program bounded by the pieces there are fills the first patterns; the unbounded one prices each
+length's best pattern in every round and adds it to the pool, and its value of a sequence makes the prices a lower bound.
+Between two pricings the weights are multiplied by what each length lacks. Rounds end when the bound proves the plan best.
+The fractional solution is rounded, the few pieces left over are filled by the bounded knapsack (or best-fit decreasing
+where that takes fewer sequences), and wasteful sequences are taken apart and filled anew if that saves any.
 
 Pieces then find their places without any join by pattern: the pieces of a length are ranked (by salted groups whose sizes
 are summed first, so a length with a third of all rows is spread over many tasks), and the rank gives pattern, sequence
@@ -17,6 +21,7 @@ are between equal rows. An empty table gives no rows. Columns beside the id and
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +34,10 @@ from logfold.llm.common import arrow_map, prepare, stored, table, texts
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 24
+#: Pricings, multiplications of the weights after each, and how sharply weights follow prices (from, to).
+ROUNDS = 40
+STEPS = 25
+SHARP = (100.0, 1000.0)
 #: Pieces of one length that a task ranks at least; beyond this squared, the square root of their number.
 GROUP = 64
 
@@ -69,9 +77,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 def _price(sizes: np.ndarray, y: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the most value within each capacity, and the size taken last there (0: leave one free)."""
+    """Unbounded knapsack: the most value within each capacity, and the index of the size taken last there (-1: leave one free)."""
     best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
+    take = np.full(capacity + 1, -1, np.int64)
     for c in range(1, capacity + 1):
         k = int(np.searchsorted(sizes, c, side="right"))
         best[c] = best[c - 1]
@@ -79,47 +87,144 @@ def _price(sizes: np.ndarray, y: np.ndarray, capacity: int) -> tuple[np.ndarray,
             value = best[c - sizes[:k]] + y[:k]
             j = int(value.argmax())
             if value[j] > best[c] + 1e-12:
-                best[c], take[c] = value[j], sizes[j]
+                best[c], take[c] = value[j], j
     return best, take
 
 
-def _fill(take: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0:
-        if take[room]:
-            out.append(int(take[room]))
-            room -= out[-1]
-        else:
-            room -= 1
+def _priced(sizes: np.ndarray, take: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the best pattern that holds it: indexes of its sizes, in order, and their copies."""
+    m = len(sizes)
+    last = np.maximum.accumulate(np.where(take >= 0, np.arange(capacity + 1), 0))
+    seed, room = np.arange(m), capacity - sizes
+    cells = [seed * m + seed]
+    while True:
+        at = last[room]
+        seed, at = seed[at > 0], at[at > 0]
+        if not len(seed):
+            break
+        cells.append(seed * m + take[at])
+        room = at - sizes[take[at]]
+    cell, copies = np.unique(np.concatenate(cells), return_counts=True)
+    cuts = np.searchsorted(cell, np.arange(1, m) * m)
+    return list(zip(np.split(cell % m, cuts), np.split(copies, cuts)))
+
+
+def fill(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """Fills sequences one kind after another, each with the longest piece left and, by the knapsack program bounded by the
+    pieces left, at the price of a piece's length, the most tokens beside it. Sets of sums are the bits of a number."""
+    left = {n: c for n, c in left.items() if c > 0}
+    sizes, out = sorted(left, reverse=True), {}
+    while sizes:
+        longest = sizes[0]
+        room = capacity - longest
+        left[longest] -= 1
+        sums, mask, reach, items = 1, (1 << (room + 1)) - 1, [], []
+        for n in sizes:
+            many, step = min(left[n], room // n), 1
+            while many > 0 and not sums >> room & 1:
+                copies = min(step, many)
+                many, step = many - copies, 2 * step
+                more = sums | sums << n * copies & mask
+                if more != sums:
+                    reach.append(sums)
+                    items.append((n, copies))
+                    sums = more
+        left[longest] += 1
+        held, at = {longest: 1}, sums.bit_length() - 1
+        for (n, copies), before in zip(reversed(items), reversed(reach)):
+            if not before >> at & 1:
+                held[n] = held.get(n, 0) + copies
+                at -= n * copies
+        times = min(left[n] // c for n, c in held.items())
+        for n, c in held.items():
+            left[n] -= c * times
+        pattern = tuple(sorted(held.items(), reverse=True))
+        out[pattern] = out.get(pattern, 0) + times
+        sizes = [n for n in sizes if left[n]]
     return out
 
 
-def _pattern(lengths: list[int]) -> Pattern:
-    return tuple((n, lengths.count(n)) for n in sorted(set(lengths), reverse=True))
-
-
-def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Pattern, float]:
-    """Patterns and how often each is used, by multiplicative weights; every length is covered."""
-    y = sizes / capacity
-    place = {int(s): k for k, s in enumerate(sizes)}
-    used: dict[Pattern, float] = {}
-    covered = np.zeros(len(sizes))
-    for t in range(1, rounds + 1):
-        _, take = _price(sizes, y, capacity)
-        left = need * (t / rounds) - covered
-        for k in range(len(sizes) - 1, -1, -1):
-            if left[k] > 1e-9:
-                p = _pattern([int(sizes[k]), *_fill(take, capacity - int(sizes[k]))])
-                x = left[k] / dict(p)[int(sizes[k])]
-                used[p] = used.get(p, 0.0) + x
-                for n, copies in p:
-                    left[place[n]] -= x * copies
-                    covered[place[n]] += x * copies
-        y = y * np.exp(-0.5 * np.clip(covered / (need * (t / rounds)) - 1, 0, 2))
-        y = np.maximum(y, 1e-9)
-        best, _ = _price(sizes, y, capacity) if t < rounds else (np.ones(capacity + 1), None)
-        y = y / best[capacity]
-    return used
+@dataclass
+class Mix:
+    """A fractional solution: cells (pattern, index of a size, copies), a weight for each pattern, and the lower bound."""
+
+    sizes: np.ndarray
+    rows: np.ndarray
+    cols: np.ndarray
+    copies: np.ndarray
+    weight: np.ndarray
+    bound: float
+
+    def covered(self) -> np.ndarray:
+        return np.bincount(self.cols, self.weight[self.rows] * self.copies, len(self.sizes))
+
+
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, start: dict[Pattern, int], rounds: int = ROUNDS, steps: int = STEPS) -> Mix:
+    """Weights of patterns that cover the need, and the dual bound of the configuration program, by multiplicative weights."""
+    m, at = len(sizes), {int(n): k for k, n in enumerate(sizes)}
+    share = sizes / capacity
+    volume = float((need * share).sum())
+    y, bound = share.copy(), volume
+    known: set[tuple[bytes, bytes]] = set()
+    cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(cols: np.ndarray, copies: np.ndarray) -> bool:
+        name = (cols.tobytes(), copies.tobytes())
+        if name in known:
+            return False
+        cells.append((np.full(len(cols), len(known)), cols, copies))
+        known.add(name)
+        return True
+
+    base = np.array([times for p, times in start.items() if add(*np.array(sorted((at[n], c) for n, c in p)).T.copy())], float)
+    rows, cols, copies, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), base
+    for t in range(rounds):
+        best, take = _price(sizes, y, capacity)
+        bound = max(bound, float((need * y).sum() / best[capacity]))
+        for pattern in _priced(sizes, take, capacity):
+            add(*pattern)
+        fresh = [np.concatenate(x) for x in zip(*cells)] if cells else [rows[:0], cols[:0], copies[:0]]
+        cells.clear()
+        rows, cols, copies = np.concatenate((rows, fresh[0])), np.concatenate((cols, fresh[1])), np.concatenate((copies, fresh[2]))
+        base = np.concatenate((base, np.full(len(known) - len(base), volume / m / 10)))
+        sharp = SHARP[0] * (SHARP[1] / SHARP[0]) ** (t / max(rounds - 1, 1))
+        for step in range(steps + 1):
+            weight = base * np.exp(np.clip(sharp * (np.bincount(rows, copies * y[cols], len(base)) - 1), -60, 20))
+            if step < steps:
+                z = np.bincount(cols, weight[rows] * copies, m) + 1e-300
+                y = np.maximum(y + share * np.log(need / z).clip(-3, 3) / sharp, 0)
+    return Mix(sizes, rows, cols, copies, weight, bound)
+
+
+def _rounded(mix: Mix, need: np.ndarray) -> tuple[dict[Pattern, int], dict[int, int]]:
+    """Whole patterns of a fractional solution that hold no more than there is, and the pieces left over."""
+    left = need.astype(np.int64)
+    order = np.argsort(mix.rows, kind="stable")
+    cols, copies = mix.cols[order], mix.copies[order].astype(np.int64)
+    starts = np.searchsorted(mix.rows[order], np.arange(len(mix.weight) + 1))
+    full = np.bincount(mix.rows, mix.copies * mix.sizes[mix.cols], len(mix.weight))
+    out: dict[Pattern, int] = {}
+    for up in (1e-6, 1.0):
+        for p in np.lexsort((-full, -mix.weight)).tolist():
+            if mix.weight[p] < 1e-3:
+                break
+            a, b = starts[p], starts[p + 1]
+            pattern = tuple((int(mix.sizes[k]), int(c)) for k, c in zip(cols[a:b][::-1], copies[a:b][::-1]))
+            times = min(int((left[cols[a:b]] // copies[a:b]).min()), int(mix.weight[p] + up) - out.get(pattern, 0))
+            if times > 0:
+                left[cols[a:b]] -= times * copies[a:b]
+                out[pattern] = out.get(pattern, 0) + times
+    return out, {int(n): int(c) for n, c in zip(mix.sizes, left) if c}
+
+
+def _placed(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """Pieces left over, in as few sequences as the knapsack or best-fit takes."""
+    a, b = fill(left, capacity), dict(best_fit(left, capacity))
+    return a if sum(a.values()) <= sum(b.values()) else b
+
+
+def _joined(a: dict[Pattern, int], b: dict[Pattern, int]) -> dict[Pattern, int]:
+    return a | {p: a.get(p, 0) + times for p, times in b.items()}
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -151,30 +256,38 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     for group in bins.values():
         for held, count in group:
             if held:
-                found[_pattern(held)] = found.get(_pattern(held), 0) + count
+                pattern = tuple(sorted(Counter(held).items(), reverse=True))
+                found[pattern] = found.get(pattern, 0) + count
     return list(found.items())
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Patterns with whole multiplicities that hold each length exactly as often as the histogram says."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    out: dict[Pattern, int] = {}
-    if n := left.pop(capacity, 0):
-        out[((capacity, 1),)] = n
-    if left:
-        sizes = np.array(sorted(left))
-        used = fractional(sizes, np.array([left[int(s)] for s in sizes], float), capacity)
-        order = sorted(used.items(), key=lambda x: (capacity - sum(n * c for n, c in x[0]), -x[1], x[0]))
-        for extra in (0.0, 0.5):
-            for p, x in order:
-                times = min([int(x + 1e-6 + extra) - out.get(p, 0), *(left[n] // c for n, c in p)])
-                if times > 0:
-                    out[p] = out.get(p, 0) + times
-                    for n, c in p:
-                        left[n] -= times * c
-        for p, times in best_fit({k: v for k, v in left.items() if v}, capacity):
-            out[p] = out.get(p, 0) + times
-    return list(out.items())
+    n = left.pop(capacity, 0)
+    whole = {((capacity, 1),): n} if n else {}
+    if not left:
+        return list(whole.items())
+    sizes = np.array(sorted(left))
+    need = np.array([left[int(s)] for s in sizes], float)
+    plan = fill(left, capacity)
+    if sum(plan.values()) > np.ceil((need * sizes).sum() / capacity - 1e-9):
+        mix = fractional(sizes, need, capacity, plan)
+        placed, rest = _rounded(mix, need)
+        plans = [plan, _joined(placed, _placed(rest, capacity)), _placed(left, capacity)]
+        for limit in (1.0, 0.999, 0.99, 0.95):  # wasteful sequences taken apart
+            held = min(plans, key=lambda p: sum(p.values()))
+            if sum(held.values()) <= np.ceil(mix.bound - 1e-6):
+                break
+            keep = {p: times for p, times in held.items() if sum(a * c for a, c in p) >= limit * capacity}
+            loose: dict[int, int] = {}
+            for p, times in held.items():
+                if p not in keep:
+                    for a, c in p:
+                        loose[a] = loose.get(a, 0) + c * times
+            plans.append(_joined(keep, _placed(loose, capacity)))
+        plan = min(plans, key=lambda p: sum(p.values()))
+    return list((whole | plan).items())
 
 
 @dataclass

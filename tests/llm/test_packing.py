@@ -35,7 +35,27 @@ def test_plan_holds_the_histogram(seed):
         for n, c in p:
             got[n] = got.get(n, 0) + c * times
     assert got == h
-    assert sum(t for _, t in plan) <= 1.01 * sum(t for _, t in packing.best_fit(h, 256)) + 1
+    assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(h, 256))
+
+
+@pytest.mark.parametrize("kind", ["uniform", "exponential", "triple", "wide"])
+def test_plan_meets_the_dual_bound(kind):
+    r = random.Random(1)
+    draw = {"uniform": lambda: r.randint(1, 1023), "exponential": lambda: min(1023, int(r.expovariate(1 / 150)) + 1), "triple": lambda: r.choice([550, 450, 250, 150]), "wide": lambda: r.choice([550, 515])}[kind]
+    h = {}
+    for _ in range(6000):
+        n = draw()
+        h[n] = h.get(n, 0) + 1
+    sizes = np.array(sorted(h))
+    need = np.array([h[int(n)] for n in sizes], float)
+    mix = packing.fractional(sizes, need, 1024, packing.fill(h, 1024))
+    lacks = np.maximum(need - mix.covered(), 0)
+    used = mix.weight.sum() + (lacks / (1024 // sizes)).sum()
+    assert mix.bound <= used * (1 + 1e-6) and used <= 1.01 * mix.bound + 1
+    placed, rest = packing._rounded(mix, need)
+    assert sum(n * c for n, c in rest.items()) < 0.1 * (need * sizes).sum()
+    total = sum(t for _, t in packing.solve(h, 1024))
+    assert np.ceil(mix.bound - 1e-6) <= total <= sum(t for _, t in packing.best_fit(h, 1024)) and total <= 1.01 * mix.bound + 1
 
 
 def test_packing_covers_every_token(spark):
