@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logfold.llm.common import arrow_map, arrow_schema, discard, free_shuffles, prepare, stored, table
 from logfold.llm.components import components
@@ -40,6 +40,8 @@ GROUP = 4096
 PIVOTS = 64
 #: Characters hashed at a time, so that the arrays stay in a core's cache.
 BLOCK = 100_000
+#: Cells (lines times shingles) of a group that are met in one matrix.
+CELLS = 4_000_000
 #: Keys a task remembers so that a line it has met is not banded again.
 SEEN = 500_000
 #: Bytes of band rows in a partition, and of a run of them that a task holds before it sets hot buckets apart.
@@ -246,7 +248,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key and position (doc, copy, place) of every line that is not white space."""
+    """key, line (its first 64 bits) and position (doc, copy, place) of every line that is not white space."""
 
     def run(batch: pa.RecordBatch) -> dict:
         keys, at, place = [], [], []
@@ -257,9 +259,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         keys.append(line_key(line))
                         at.append(row)
                         place.append(k)
-        return {"key": keys, "doc": batch.column("doc").take(at), "copy": batch.column("copy").take(at), "place": place}
+        return {"key": keys, "line": list(map(_short, keys)), "doc": batch.column("doc").take(at), "copy": batch.column("copy").take(at), "place": place}
 
-    return arrow_map(_numbered(docs), run, "key binary, doc long, copy long, place int").select("key", F.struct("doc", "copy", "place").alias("position"))
+    return arrow_map(_numbered(docs), run, "key binary, line long, doc long, copy long, place int").select("key", "line", F.struct("doc", "copy", "place").alias("position"))
 
 
 def _sets(lines: list[str]) -> list[np.ndarray]:
@@ -275,6 +277,31 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _forest(lines: list[str], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the lines of a group: all at once where their shingles fit a matrix."""
+    n = len(lines)
+    if n * sum(map(len, lines)) > CELLS:
+        return _linked(_sets(lines), similarity)
+    h, begins = _shingles(lines)
+    kinds, kind = np.unique(h, return_inverse=True)
+    has = np.zeros((n, len(kinds)), np.float32)
+    has[np.repeat(np.arange(n), np.diff(np.append(begins, len(h)))), kind] = 1
+    both = has @ has.T  # whole numbers below 2**24
+    size = both.diagonal()
+    near = both >= similarity * (size[:, None] + size - both) - 1e-4
+    new, edges = np.ones(n, bool), []
+    for k in range(n):
+        if new[k]:
+            new[k], queue = False, [k]
+            while queue:
+                j = queue.pop()
+                more = np.flatnonzero(near[j] & new)
+                new[more] = False
+                edges += [(j, int(x)) for x in more]
+                queue += more.tolist()
+    return edges
+
+
 def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines, breadth first; sizes bound the similarity before sets are met."""
     size = np.array([len(x) for x in sets])
@@ -352,7 +379,7 @@ def _verified(rows: list[tuple[bytes, int, str]], similarity: float) -> list[tup
             if j - i == 2 or near[i:j].all():
                 out += [(lot[i][1], lot[k][1]) for k in range(i + 1, j) if near[k]]
             else:
-                out += [(lot[i + x][1], lot[i + y][1]) for x, y in _linked(_sets([r[2] for r in lot[i:j]]), similarity)]
+                out += [(lot[i + x][1], lot[i + y][1]) for x, y in _forest([r[2] for r in lot[i:j]], similarity)]
         a = b
     return out
 
@@ -469,23 +496,17 @@ def _against(sets: list[np.ndarray], heads: list[int], rest: list[tuple[int, str
     return out
 
 
-def _short_column(key: str) -> Column:
-    """The first eight bytes of a key as a little-endian long, as _short() reads them."""
-    octets = [F.hex(F.substring(key, k, 1)) for k in range(8, 0, -1)]
-    return F.conv(F.concat(*octets), 16, -10).cast("long")
-
-
 def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
     """doc, copy and the places of the lines that stay, for documents with any."""
-    firsts = stored(occurrences(docs).groupBy("key").agg(F.min("position").alias("position")).select(_short_column("key").alias("line"), "position"), "line-firsts")
+    firsts = stored(occurrences(docs).groupBy("line", "key").agg(F.min("position").alias("position")).select("line", "position"), "line-firsts")
     free_shuffles(docs.sparkSession)
     edges = links(docs, firsts, similarity, group, pivots)
     found = components(edges)
     discard(edges)
-    lines = firsts.join(found, F.col("line") == F.col("node")).select("component", "position")
-    stays = lines.groupBy("component").agg(F.min("position").alias("position"))
-    gone = lines.join(stays, ["component", "position"], "left_anti").select("position")
-    left = firsts.select("position").join(gone, "position", "left_anti")
+    lines = firsts.join(found, F.col("line") == F.col("node")).select("component", "line", "position")
+    stays = lines.groupBy("component").agg(F.min_by("line", "position").alias("line"))
+    gone = lines.join(stays, ["component", "line"], "left_anti").select("line")
+    left = firsts.join(gone, "line", "left_anti")
     return left.groupBy("position.doc", "position.copy").agg(F.collect_list("position.place").alias("places"))
 
 
