@@ -7,7 +7,8 @@ never content by their tag (scripts, menus, ...) give no lines. Those set aside
 article or main element stands in them, or a form holds most of the page, or nothing else has any text. Each line's ratio of
 characters to tags, without link text, is smoothed by a Gaussian over its neighbours; two-means clustering of the ratios'
 logarithms gives the page's threshold. A region is content if its lines pass it, articles and main elements before any
-other region; a content region keeps all its lines, long or short, in page order.
+other region; a content region keeps all its lines, long or short, in page order, but for regions inside it (lists, parts)
+of MENU lines or more that are nothing but links and mostly stay below the threshold with their neighbours: menus.
 
 Null and empty pages, and pages without any text, give an empty text. Character references are decoded, white space in a
 line becomes one space, lines are joined by an empty line. Unclosed and stray tags are taken as browsers do: a block closes
@@ -18,6 +19,8 @@ returned; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from heapq import heapify, heappop, heappush
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +35,10 @@ _SKIPPED = frozenset("head script style noscript template svg math canvas iframe
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACES = frozenset("br td th option wbr".split())
 _REGIONS = frozenset("article main section div body td".split())
+_LISTS = frozenset("ul ol dl nav table p".split())
+#: What an end tag of the second kind doesn't reach through.
+_WALLS = frozenset("article main section td table ul ol div".split())
+_STRAY = frozenset("p li a b i em strong span".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing social related recommended footer masthead newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar".split())
 _KEPT = frozenset("html body article main".split())
@@ -41,6 +48,8 @@ _OUTER_NAMES = _NAMES | {"header"}
 _BESIDE = frozenset("site page main top bottom left right primary secondary global header container wrapper wrap inner outer box block area zone list lists item items link links bar slot unit section post posts entry article articles story stories button buttons icon icons form google text x jp wp js sticky mobile desktop".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
+#: Lines of a region that are nothing but links, to be a menu.
+MENU = 3
 
 
 def _named(value: str, names: frozenset[str]) -> bool:
@@ -62,8 +71,11 @@ class _Lines(HTMLParser):
         self.asides: list[tuple[int, bool]] = [(0, False)]  # the one around each, and whether it is a form
         self.regions: list[tuple[str, int]] = [("body", 0)]  # tag and the region around it
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, skipped, region, set aside
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # per tag, its places in the stack
+        self.walls: list[int] = []  # places of the elements that stray end tags don't close
+        self.within: defaultdict[int, list[int]] = defaultdict(list)  # per element set aside, regions of the open elements in it
         self.parts: list[tuple[int, str, int]] = []  # set aside, text, link characters
-        self.tags = self.links = 0
+        self.tags = 0
 
     @property
     def _skipped(self) -> bool:
@@ -75,9 +87,8 @@ class _Lines(HTMLParser):
 
     def _region(self, aside: int) -> int:
         """The region at this place for text of an element set aside, or of none."""
-        for *_, region, own in reversed(self.stack):
-            if own == aside:
-                return region
+        if self.within[aside]:
+            return self.within[aside][-1]
         return self.stack[-1][2] if aside and self.stack else 0
 
     def _break(self) -> None:
@@ -94,7 +105,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _BLOCKS:
             self._break()
-            if any(t == "p" for t, *_ in self.stack[-8:]):
+            if self.open["p"] and self.open["p"][-1] >= len(self.stack) - 8:
                 self._close("p")
             if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self._close("li")
@@ -108,16 +119,19 @@ class _Lines(HTMLParser):
             self.asides.append((aside, tag == "form"))
             aside = len(self.asides) - 1
         region = self.stack[-1][2] if self.stack else 0
-        if tag in _REGIONS and not skipped:
+        if (tag in _REGIONS or tag in _LISTS) and not skipped:
             self.regions.append((tag, region))
             region = len(self.regions) - 1
-        self.links += tag == "a"
+        self.open[tag].append(len(self.stack))
+        if tag in _WALLS:
+            self.walls.append(len(self.stack))
+        self.within[aside].append(region)
         self.stack.append((tag, skipped, region, aside))
 
     def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _KEPT:
             return tag == "article" and any(_named(v, _ARTICLE_NAMES) for k, v in attrs if k in ("class", "id") and v)
-        inside = any(t in ("article", "main") for t, *_ in self.stack)
+        inside = bool(self.open["article"] or self.open["main"])
         if tag == "header" and not inside:
             return True
         for k, v in attrs:
@@ -126,15 +140,19 @@ class _Lines(HTMLParser):
         return False
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if any(t in _BLOCKS for t, *_ in self.stack[k:]):
-                    self._break()
-                self.links -= sum(t == "a" for t, *_ in self.stack[k:])
-                del self.stack[k:]
-                return
-            if tag in ("p", "li", "a", "b", "i", "em", "strong", "span") and self.stack[k][0] in ("article", "main", "section", "td", "table", "ul", "ol", "div"):
-                return  # an inline or stray end tag doesn't close the element around it
+        if not self.open[tag]:
+            return
+        at = self.open[tag][-1]
+        if tag in _STRAY and self.walls and self.walls[-1] > at:
+            return  # an inline or stray end tag doesn't close the element around it
+        if any(t in _BLOCKS for t, *_ in self.stack[at:]):
+            self._break()
+        while len(self.stack) > at:
+            closed, *_, aside = self.stack.pop()
+            self.open[closed].pop()
+            self.within[aside].pop()
+            if closed in _WALLS:
+                self.walls.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -144,7 +162,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self._skipped:
-            self.parts.append((self._aside, data, len(data.strip()) if self.links else 0))
+            self.parts.append((self._aside, data, len(data.strip()) if self.open["a"] else 0))
 
     def settle(self) -> None:
         """Takes out the lines of the elements set aside, but for those that hold the main text; their tags count for the
@@ -190,9 +208,18 @@ class _Lines(HTMLParser):
             at = self.asides[at][0]
         # down to the text, through wrappers set aside inside of it
         wanted = {x for (*_, region), x in zip(self.lines, self.aside) if own[region] or not ringed[best]}
-        while not wanted & chain:
-            at = max((k for k in tops if self.asides[k][0] in chain and k not in chain), key=lambda k: (ringed[k], total[k], -k))
+        inner = defaultdict(list)
+        for k in tops:
+            inner[self.asides[k][0]].append((-ringed[k], -total[k], k))
+        near = [x for k in chain for x in inner[k] if x[-1] not in chain]
+        heapify(near)
+        met = bool(wanted & chain)
+        while not met and near:
+            at = heappop(near)[-1]
             chain.add(at)
+            met = at in wanted
+            for x in inner[at]:
+                heappush(near, x)
         return chain
 
 
@@ -239,25 +266,32 @@ def extract(html: str | None) -> str:
     value = smoothed(ratio)
     cut = threshold(value)
     passes = (value >= cut) & (ratio >= cut / 2) & (ratio > 0)  # not by its neighbours alone
-
-    def ring(region: int) -> int | None:
-        """The outermost article or main element around a region."""
-        found = None
-        while region:
-            if page.regions[region][0] in ("article", "main"):
-                found = region
-            region = page.regions[region][1]
-        return found
-
-    where = [ring(r) for *_, r in page.lines]
-    articles = {w for w in where if w is not None}
-    chosen = {w for w, ok in zip(where, passes) if ok and w is not None} or articles
+    parent = [p for _, p in page.regions]
+    ring: list[int | None] = [None]  # per region, the outermost article or main element around it
+    home = [0]  # and the innermost region around it that isn't a list
+    for k, (tag, outer) in enumerate(page.regions[1:], 1):
+        ring.append(k if ring[outer] is None and tag in ("article", "main") else ring[outer])
+        home.append(home[outer] if tag in _LISTS else k)
+    where = [ring[r] for *_, r in page.lines]
+    chosen = {w for w, ok in zip(where, passes) if ok and w is not None} or {w for w in where if w is not None}
     if chosen:
         kept = [w in chosen for w in where]
     else:
-        content = {r for (*_, r), ok in zip(page.lines, passes) if ok}
-        kept = [r in content for *_, r in page.lines]
-    return "\n\n".join(t for (t, *_), k in zip(page.lines, kept) if k)
+        content = {home[r] for (*_, r), ok in zip(page.lines, passes) if ok}
+        kept = [home[r] in content for *_, r in page.lines]
+    # regions of nothing but links that the smoothed ratios leave below the threshold are menus, wherever they stand
+    n, links, least = ([0] * len(parent) for _ in range(3))
+    for (text, _, linked, r), ok in zip(page.lines, value >= cut):
+        n[r] += 1
+        links[r] += linked > 0 and 10 * linked >= 9 * len(text.replace(" ", ""))
+        least[r] += not ok
+    for k in range(len(parent) - 1, 0, -1):
+        for x in (n, links, least):
+            x[parent[k]] += x[k]
+    menu = [False]
+    for k in range(1, len(parent)):
+        menu.append(menu[parent[k]] or n[k] >= MENU and n[k] == links[k] and 2 * least[k] > n[k] and page.regions[k][0] not in ("article", "main"))
+    return "\n\n".join(t for (t, *_, r), k in zip(page.lines, kept) if k and not menu[r])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

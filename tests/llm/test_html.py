@@ -1,5 +1,7 @@
 """Main text of pages."""
 
+import time
+
 import pytest
 
 from logfold.llm import html_text
@@ -33,6 +35,33 @@ def test_long_pages_take_linear_time():
     html_text.extract("<article>" + "<b><i>" * 50_000 + "x" + "</i></b>" * 50_000)
 
 
+@pytest.mark.parametrize("html", ["<div><p>" * 40_000 + "x", "<div>" * 2 + "</p></span></b></section>" * 40_000 + "x", "<div class=sidebar>" * 8_000 + f"<p>{LONG}", "<ul><li>" * 20_000 + "x", "<article>" * 20_000 + "x<p>y"])
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    html_text.extract(html)
+    assert time.process_time() - began < 5
+
+
+def test_names_that_only_hold_a_word_stay():
+    html = f"<article><p>{LONG}</p><p class='share-prices'>Shares fell.</p><p id='comment-on-budget'>No comment.</p><p class=ad-hoc>So.</p></article>"
+    assert html_text.extract(html) == f"{clean(LONG)}\n\nShares fell.\n\nNo comment.\n\nSo."
+
+
+LINKS = "".join(f"<li><a href={k}>Some other page {k}</a></li>" for k in range(6))
+MENUS = [
+    (f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><p>{LONG}</p><ul>{LINKS}</ul></article>", f"Title\n\n{clean(LONG)}\n\n{clean(LONG)}"),
+    (f"<div><div>{LINKS.replace('li', 'p')}</div><div><p>{LONG}</p><p>{LONG}</p><ul><li>One point</li><li>Two <a href=x>points</a></li><li>Three</li></ul></div></div>", f"{clean(LONG)}\n\n{clean(LONG)}\n\nOne point\n\nTwo points\n\nThree"),
+    (f"<div><p>Top of the page</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div><p>All rights kept</p></div>", f"{clean(LONG)}\n\n{clean(LONG)}"),
+]
+
+
+def test_ratios_tell_menus_and_remarks_from_text(monkeypatch):
+    for html, text in MENUS:
+        assert html_text.extract(html) == text
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios * 0 + 1)  # without ratios they stay
+    assert sum(html_text.extract(html) == text for html, text in MENUS) < 2
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>a", "x"), (2, None, "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract_pages(pages).fillna("-").collect())) == [(1, "u", "", 0), (2, "-", "a", 1), (2, "-", "a", 1)]
