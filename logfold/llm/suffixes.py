@@ -15,11 +15,13 @@ Three steps bring every such string together without sorting the corpus's suffix
    compared or sorted as strings.
    A symbol is eight bytes, so the depth is reached in a few dozen rounds.
 
-A common anchor costs one row per task when counted. Anchors with more than GROUP distinct segments are cut into blocks and
-every two blocks are merged in a task of their own, so no task holds an unbounded group.
+A common anchor costs one row per task when counted, and a run of equal segments (a text that repeats one character, say)
+one row. Anchors with more than GROUP distinct segments aren't merged in one task: their windows, at most 169 a segment, are
+counted by anchor and two 64-bit hashes over all tasks, which grows with the segments, not with their pairs.
 
 Null texts are empty; texts shorter than the length lose nothing. Very long texts are read whole. Repeated rows are
-repeats of one another. Columns beside doc_id and text are ignored; an empty table gives no rows.
+repeats of one another; rows that share a doc_id (or have none) are told apart by their texts' hash. Columns beside doc_id
+and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,62 +136,76 @@ def _shared(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
-
-
-def _copy(raw: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
+    """doc (the least long for a null id), copy (its text's hash) and text: rows equal in the first two are copies."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, content (hash of the segment), doc, copy, first and last of every segment."""
+    """anchor, content (hash of the segment), doc, copy, first and last of every segment; equal segments one after another
+    are one row, n of them, from the first's first to the last's last. size is one segment's bytes."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
-        out: dict[str, list] = {k: [] for k in ("anchor", "content", "doc", "copy", "first", "last")}
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+        out: dict[str, list] = {k: [] for k in ("anchor", "content", "doc", "copy", "first", "last", "size", "n")}
+        for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "copy", "text"))):
             raw = (text or "").encode("utf-8", "surrogatepass")
             if (found := segments(raw, length)) is not None:
                 anchor, first, last = found
-                n = len(anchor)
                 view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-                content = np.fromiter((digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, n)
-                for name, v in zip(out, (anchor.view(np.int64), content.view(np.int64), np.full(n, doc), np.full(n, _copy(raw)), first.astype(np.int32), last.astype(np.int32))):
+                content = np.fromiter((digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(anchor))
+                size = last - first + length
+                new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])))
+                at = np.flatnonzero(new)
+                end = np.append(at[1:], len(new)) - 1
+                k = len(at)
+                for name, v in zip(out, (anchor[at].view(np.int64), content[at].view(np.int64), np.full(k, doc), np.full(k, copy), first[at].astype(np.int32), last[end].astype(np.int32), size[at].astype(np.int32), (end - at + 1).astype(np.int32))):
                     out[name].append(v)
         return {k: np.concatenate(v) for k, v in out.items()} if out["doc"] else None
 
-    return arrow_map(_numbered(docs), run, "anchor long, content long, doc long, copy long, first int, last int")
+    return arrow_map(_numbered(docs).drop("doc_id"), run, "anchor long, content long, doc long, copy long, first int, last int, size int, n int")
+
+
+def _hot_windows(met: DataFrame, length: int) -> DataFrame:
+    """doc, copy, start and stop of the windows that repeat among the distinct segments of one anchor, by counted hashes."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("anchor", "a", "b", "doc", "copy", "start")}
+        for anchor, doc, copy, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "copy", "first", "bytes"))):
+            for k in range(len(raw) - length + 1):
+                digest = xxhash.xxh3_128_digest(raw[k : k + length])
+                for name, v in zip(out, (anchor, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, copy, first + k)):
+                    out[name].append(v)
+        return out
+
+    windows = stored(arrow_map(met, run, "anchor long, a long, b long, doc long, copy long, start int"), "hot-windows")
+    often = windows.groupBy("anchor", "a", "b").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    return windows.join(often, ["anchor", "a", "b"], "left_semi").select("doc", "copy", "start", (F.col("start") + length).alias("stop"))
 
 
 def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int = LOT) -> DataFrame:
     """doc, copy, start and stop of byte ranges to remove; ranges may overlap."""
     spark = docs.sparkSession
     anchors = stored(_anchors(docs, length), "anchors")
-    counts = anchors.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"))
+    counts = anchors.groupBy("anchor", "content").agg(F.sum("n").alias("times"))
     kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     wanted = counts.join(kinds, "anchor").where("times > 1 or kinds > 1")
     found = stored(anchors.join(wanted, ["anchor", "content"]), "segments")
     discard(anchors)
     free_shuffles(spark)
     full = found.where("times > 1").select("doc", "copy", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    shards = found.where("kinds > 1").groupBy("anchor", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "times", "doc", "copy", "first", "last")])
-    by_doc = shards.groupBy("doc").agg(F.collect_list(F.struct("copy", "anchor", "content", "kinds", "times", "first", "last")).alias("cuts"))
+    shards = found.where("kinds > 1").groupBy("anchor", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "times", "doc", "copy", "first", "size")])
+    by_doc = shards.groupBy("doc", "copy").agg(F.collect_list(F.struct("anchor", "kinds", "times", "first", "size")).alias("cuts")).hint("shuffle_hash")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("anchor", "content", "kinds", "times", "doc", "copy", "first", "bytes")}
-        for doc, pressed, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "cuts"))):
+        out: dict[str, list] = {k: [] for k in ("anchor", "kinds", "times", "doc", "copy", "first", "bytes")}
+        for doc, copy, pressed, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc", "copy", "text", "cuts"))):
             raw = unpacked(pressed).encode("utf-8", "surrogatepass")
-            copy = _copy(raw)
             for c in cuts:
-                if c["copy"] == copy:
-                    for name, v in zip(out, (c["anchor"], c["content"], c["kinds"], c["times"], doc, copy, c["first"], raw[c["first"] : c["last"] + length])):
-                        out[name].append(v)
+                for name, v in zip(out, (c["anchor"], c["kinds"], c["times"], doc, copy, c["first"], raw[c["first"] : c["first"] + c["size"]])):
+                    out[name].append(v)
         return out
 
-    met = arrow_map(packed_texts(_numbered(docs.where("text is not null"))).join(by_doc, "doc").select("doc", "text", "cuts"), cut, "anchor long, content long, kinds long, times long, doc long, copy long, first int, bytes binary")
-    blocks = F.ceil(F.col("kinds") / group).cast("int")
-    own = F.pmod(F.xxhash64("content"), blocks)
-    pair = F.expr("CASE WHEN blocks = 1 THEN array(-1) ELSE transform(filter(sequence(0, blocks - 1), o -> o <> own), o -> least(o, own) * blocks + greatest(o, own)) END")
-    spread = met.withColumn("blocks", blocks).withColumn("own", own.cast("int")).withColumn("pair", F.explode(pair)).select("anchor", F.col("pair").cast("long").alias("pair"), "times", "doc", "copy", "first", "bytes")
+    met = arrow_map(packed_texts(_numbered(docs.where("text is not null")).drop("doc_id")).join(by_doc, ["doc", "copy"]).select("doc", "copy", "text", "cuts"), cut, "anchor long, kinds long, times long, doc long, copy long, first int, bytes binary")
     prepare(spark)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +214,7 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
 
         def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             out: dict[str, list] = {k: [] for k in ("doc", "copy", "start", "stop")}
-            rows = list({r[3:6]: r for r in rows}.values())  # a segment may be in several pairs, and never repeats itself
-            for (_, _, times, doc, copy, first, _), at in zip(rows, repeated([r[-1] for r in rows], length)):
+            for (_, times, doc, copy, first, _), at in zip(rows, repeated([r[-1] for r in rows], length)):
                 if times == 1 and len(at):
                     runs = np.flatnonzero(np.diff(at) != 1) + 1
                     for a, b in zip(at[np.concatenate(([0], runs))].tolist(), at[np.concatenate((runs - 1, [len(at) - 1]))].tolist()):
@@ -214,7 +229,7 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
             size += sum(len(r[-1]) for r in new)
             if size >= lot:
                 k = len(held) - 1
-                while k and held[k - 1][:2] == held[-1][:2]:
+                while k and held[k - 1][0] == held[-1][0]:
                     k -= 1
                 if k:
                     yield from close(held[:k])
@@ -223,8 +238,11 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
         if held:
             yield from close(held)
 
-    parts = spread.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair").mapInArrow(merge, "doc long, copy long, start int, stop int")
-    ranges = stored(full.unionByName(parts), "ranges")
+    cold = met.where(F.col("kinds") <= group).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
+    parts = full.unionByName(cold.mapInArrow(merge, "doc long, copy long, start int, stop int"))
+    if not found.where(F.col("kinds") > group).isEmpty():
+        parts = parts.unionByName(_hot_windows(met.where(F.col("kinds") > group), length))
+    ranges = stored(parts, "ranges")
     discard(found)
     free_shuffles(spark)
     return ranges
@@ -232,9 +250,9 @@ def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int
 
 def dedup(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int = LOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    by_doc = covered(docs, length, group, lot).distinct().groupBy("doc").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("ranges"))
-    pressed = packed_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    joined = pressed.join(by_doc, F.coalesce("doc_id", F.lit(-(2**63))) == by_doc["doc"], "left").select("doc_id", "text", "ranges")
+    by_doc = covered(docs, length, group, lot).distinct().groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).hint("shuffle_hash")
+    pressed = packed_texts(_numbered(docs))
+    joined = pressed.join(by_doc, ["doc", "copy"], "left").select("doc_id", "text", "ranges")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
@@ -242,8 +260,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, group: int = GROUP, lot: int =
             raw = (unpacked(pressed) or "").encode("utf-8", "surrogatepass")
             kept, last, spans = [], 0, 0
             if ranges:
-                copy = _copy(raw)
-                for a, b in sorted((r["start"], r["stop"]) for r in ranges if r["copy"] == copy):
+                for a, b in sorted((r["start"], r["stop"]) for r in ranges):
                     if a > last or not spans:
                         kept.append(raw[last:a])
                         spans += 1

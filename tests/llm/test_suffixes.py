@@ -1,6 +1,7 @@
 """Suffix dedup against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -45,6 +46,17 @@ def test_equals_brute_force(spark, seed, group, lot):
     assert out == brute(rows, 200)
 
 
+def test_rows_that_share_an_id_take_linear_time(spark):
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefgh ") for _ in range(260))
+    rows = [(None, "".join(r.choice("abcdefgh ") for _ in range(300)) + (line if k % 2 else "")) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = suffixes.dedup(docs).collect()
+    assert Counter(x.n_removed >= 260 for x in out) == {True: 750, False: 750}
+    assert time.time() - began < 20
+
+
 def test_repeated_windows():
     r = random.Random(3)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 80))) for _ in range(40)]
