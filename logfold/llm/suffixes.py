@@ -41,7 +41,7 @@ LENGTH = 200
 KMER = 32
 SYMBOL = 8
 #: Distinct segments of an anchor that one task merges, and bytes that a task merges at a time.
-GROUP = 2048
+GROUP = 8192
 LOT = 2_000_000
 
 
