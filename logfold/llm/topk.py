@@ -1,10 +1,11 @@
 """Exact top-k search (9): columnar branch-and-bound on inner products.
 
 Vectors are packed into blocks held dimension by dimension. Queries (the rows whose id is divisible by ``every``) and
-candidates (all rows) are dealt into groups; every query group meets every candidate group once, in a task of its own, so
-work and memory of a task are fixed and their number grows with queries times rows. Inside, scores are accumulated a block
-of dimensions at a time; what is left of a score is at most the product of the remaining norms, and candidates that no
-query of the lot can still rank are compacted away. Scores are whole numbers held in doubles, exact below 2**53. Each task
+candidates (all rows) are dealt into groups; every query group meets every candidate group once. A query group has a fixed
+size and candidates stream past it, so a task's memory is fixed, and there are at most TASKS tasks however many rows there
+are. Inside, scores are accumulated a block of dimensions at a time; what is left of a score is at most the product of the
+remaining norms, and candidates that no query of the lot can still rank are compacted away. Every query starts with a bound
+that all tasks share: its k-th best score among one block of candidates. Scores are whole numbers held in doubles, exact below 2**53. Each task
 returns the best k of each of its queries, and a window over those few rows ranks them.
 
 Vectors that are null, or hold a null or non-finite component, take no part; so do rows with a null id. Shorter vectors
@@ -30,6 +31,14 @@ BLOCK = 2048
 LOT = 64
 DIMENSIONS = 16
 GROUP = 4
+#: Most tasks that queries and candidates are dealt over.
+TASKS = 8192
+
+
+def grid(queries: int, candidates: int) -> tuple[int, int]:
+    """Groups of query and of candidate blocks: fixed for queries, as many for candidates as the tasks allow."""
+    rows = max(1, -(-queries // GROUP))
+    return rows, max(1, min(-(-candidates // GROUP), TASKS // rows))
 
 
 def _pack(vectors: DataFrame, every: int, size: int) -> DataFrame:
@@ -67,8 +76,9 @@ def _pack(vectors: DataFrame, every: int, size: int) -> DataFrame:
 class _Best:
     """The best k candidates so far of each query of a block."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.data, self.k = ids, data, k
+        self.least = np.full(len(ids), -np.inf) if least is None else least  # the k-th best is this or more
         self.score = np.full((len(ids), k), -np.inf)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -77,7 +87,7 @@ class _Best:
         mine = _tails(self.data)
         for a in range(0, len(self.ids), LOT):
             lot = slice(a, min(a + LOT, len(self.ids)))
-            least = self.score[lot, -1]
+            least = np.maximum(self.score[lot, -1], self.least[lot])
             part = np.zeros((lot.stop - a, len(ids)))
             here, alive = data, np.arange(len(ids))
             for step, d in enumerate(range(0, len(data), DIMENSIONS)):
@@ -95,7 +105,7 @@ class _Best:
             q = a + r
             row = part[r]
             good = (row > self.score[q, -1]) | ((row == self.score[q, -1]) & (ids < self.vec[q, -1]))
-            good &= ids != self.ids[q]
+            good &= (ids != self.ids[q]) & (row >= self.least[q])
             at = np.flatnonzero(good)
             if len(at) > 4 * self.k:
                 at = at[row[at] >= np.partition(row[at], -self.k)[-self.k]]
@@ -122,14 +132,30 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     prepare(vectors.sparkSession)
     blocks = stored(_pack(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)), every, block), "vector-blocks")
     count = {r.side: r["count"] for r in blocks.groupBy("side").count().collect()}
-    groups = [max(1, -(-count.get(side, 0) // GROUP)) for side in (0, 1)]
+    groups = grid(count.get(0, 0), count.get(1, 0))
+    sample = blocks.where("side = 1").limit(1).collect()  # one block, for the bounds
     at = F.monotonically_increasing_id()
     spread = F.shiftright(at, 33) + F.lit(7) * at.bitwiseAND(F.lit(2**33 - 1))
     numbered = blocks.withColumn("own", spread)
-    q = numbered.where("side = 0").withColumn("q", F.pmod("own", F.lit(groups[0]))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups[1] - 1))))
-    c = numbered.where("side = 1").withColumn("c", F.pmod("own", F.lit(groups[1]))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups[0] - 1))))
-    names = [F.col("q").cast("long").alias("q"), F.col("c").cast("long").alias("c"), "side", "ids", "data", "dims"]
-    met = q.select(*names).unionByName(c.select(*names)).repartition(max(1, groups[0] * groups[1]), "q", "c").sortWithinPartitions("q", "c", "side")
+    q = numbered.where("side = 0").withColumn("q", F.pmod("own", F.lit(groups[0])))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds each query's k-th best score among the sample."""
+        for batch in batches:
+            out = []
+            for ids, raw, dims in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "dims"))):
+                mine, other = _block(ids, raw, dims), _block(*(sample[0][c] for c in ("ids", "data", "dims")))
+                data, theirs = _padded(mine[1], other[1])
+                best = _Best(mine[0], data, k)
+                best.meet(other[0], theirs, _tails(theirs))
+                out.append(best.score[:, -1].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "least"])
+
+    names = ["q", "side", "ids", "data", "dims"]
+    q = q.select(*names).mapInArrow(bound, "q long, side int, ids binary, data binary, dims int, least binary").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups[1] - 1))))
+    c = numbered.where("side = 1").withColumn("c", F.pmod("own", F.lit(groups[1]))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups[0] - 1)))).withColumn("least", F.lit(None).cast("binary"))
+    names = [F.col("q").cast("long").alias("q"), F.col("c").cast("long").alias("c"), "side", "ids", "data", "dims", "least"]
+    met = q.select(*names).unionByName(c.select(*names)).repartition(min(TASKS, groups[0] * groups[1]), "q", "c").sortWithinPartitions("q", "c", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, best = None, []
@@ -139,10 +165,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 if (row["q"], row["c"]) != key:
                     yield from filter(None, (b.rows() for b in best))
                     key, best = (row["q"], row["c"]), []
-                ids = np.frombuffer(row["ids"], "<i8")
-                data = np.frombuffer(row["data"]).reshape(row["dims"], len(ids))
+                ids, data = _block(row["ids"], row["data"], row["dims"])
                 if not row["side"]:
-                    best.append(_Best(ids, data, k))
+                    best.append(_Best(ids, data, k, np.frombuffer(row["least"])))
                     continue
                 for b in best:
                     b.data, data = _padded(b.data, data)
@@ -154,6 +179,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _block(ids: bytes, data: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, "<i8")
+    return own, np.frombuffer(data).reshape(dims, len(own))
+
+
 def _padded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = max(len(a), len(b))
     return tuple(x if len(x) == n else np.vstack((x, np.zeros((n - len(x), x.shape[1])))) for x in (a, b))

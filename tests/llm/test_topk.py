@@ -36,3 +36,14 @@ def test_few_rows_and_none(spark):
     assert run(spark, []) == []
     assert run(spark, [(4, [1.0])]) == []
     assert run(spark, [(4, [1.0]), (5, [1.0])]) == [(4, 1, 5, 4096)]
+
+
+def test_tasks_do_not_grow_with_the_rows():
+    for rows in (1, 10**4, 10**7, 10**9, 10**12):
+        q, c = topk.grid(-(-rows // 20 // topk.BLOCK), -(-rows // topk.BLOCK))
+        assert c <= topk.TASKS and (q > topk.TASKS or q * c <= topk.TASKS)
+
+
+def test_bounds_keep_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(40 + i, [0.0, float(i % 3)]) for i in range(40)]
+    assert run(spark, rows, block=7) == plain(rows, 5, 4)
