@@ -23,15 +23,21 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or f"file://{tempfile.gettempdir()}/logfold-{os.getuid()}").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, so later jobs start from the files."""
+    """Writes df as a Parquet table in the shared folder and reads it back, so later jobs start from the files. Where
+    discard() doesn't delete it before, it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

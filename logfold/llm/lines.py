@@ -21,7 +21,7 @@ table gives no rows. Beyond the exact step a line is known by 64 bits of its key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,10 +125,26 @@ def _chunked(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Itera
         yield lot
 
 
+def packed_runs(ids: np.ndarray, found: np.ndarray, parts: int) -> pa.RecordBatch:
+    """part and run: packed rows of bucket and id for each range of buckets, from the band hashes (a row for each band) of
+    the ids. Packing spares a row for each of an id's bands."""
+    rows = np.empty(found.size, np.dtype([("bucket", "<u8"), ("line", "<i8")]))
+    rows["bucket"], rows["line"] = found.ravel(), np.tile(ids, len(found))
+    part = (rows["bucket"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    order = np.argsort(part.astype(np.uint32), kind="stable")
+    rows, part = rows[order], part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    starts = np.concatenate(([0], cuts))
+    return pa.RecordBatch.from_pydict({"part": part[starts].astype(np.int32), "run": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary())})
+
+
+def parts_for(df: DataFrame, rows: int) -> int:
+    """Partitions for so many rows of bucket and id."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * 16 // PART_BYTES))
+
+
 def _band_runs(docs: DataFrame, parts: int) -> DataFrame:
-    """part and run: packed rows of bucket and line (the first 64 bits of the key) for each range of buckets, each line once
-    in a task. Packing spares a row for each of a line's bands."""
-    kind = np.dtype([("bucket", "<u8"), ("line", "<i8")])
+    """The packed rows of bucket and line (the first 64 bits of the key), each line once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -154,27 +170,19 @@ def _band_runs(docs: DataFrame, parts: int) -> DataFrame:
                 a = b
             if met:
                 ids = np.fromiter(map(_short, keys), np.int64, len(keys))
-                rows = np.empty(BANDS * len(keys), kind)
-                rows["bucket"], rows["line"] = np.concatenate(met, axis=1).ravel(), np.tile(ids, BANDS)
-                part = (rows["bucket"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                order = np.argsort(part.astype(np.uint32), kind="stable")
-                rows, part = rows[order], part[order]
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                starts = np.concatenate(([0], cuts))
-                yield pa.RecordBatch.from_pydict({"part": part[starts].astype(np.int32), "run": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary())})
+                yield packed_runs(ids, np.concatenate(met, axis=1), parts)
 
     return docs.select("text").mapInArrow(run, "part int, run binary")
 
 
-def _groups(docs: DataFrame, size: int, n_lines: int) -> DataFrame:
-    """grp and lines: two to ``size`` lines that share a band, or one line of a hot bucket (hot is true).
+def grouped(runs: DataFrame, parts: int, size: int) -> DataFrame:
+    """grp and lines: two to ``size`` ids that share a band, or one id of a hot bucket (hot is true); the same group may come
+    from many bands.
 
-    A task's run of rows is bounded by the number of partitions, which grows with the lines; a hot bucket's rows go out as
+    A task's run of rows is bounded by the number of partitions, which grows with the rows; a hot bucket's rows go out as
     soon as the run is too long.
     """
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-n_lines * BANDS * 16 // PART_BYTES))
-    spread = _band_runs(docs, parts).repartition(parts, "part").sortWithinPartitions("part")
+    spread = runs.repartition(parts, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, room = None, [], 0
@@ -392,7 +400,8 @@ def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, gr
     """a, b: lines (64 bits of the key) joined by verified links, in a stored table."""
     spark = docs.sparkSession
     prepare(spark)
-    groups = stored(_groups(docs, group, firsts.count()), "line-groups")
+    parts = parts_for(docs, firsts.count() * BANDS)
+    groups = stored(grouped(_band_runs(docs, parts), parts, group), "line-groups")
     free_shuffles(spark)
     members = groups.where("not hot").groupBy("grp").agg(F.first("lines").alias("lines")).select("grp", F.explode("lines").alias("line"))
     hot = groups.where("hot").select("grp", F.col("lines")[0].alias("line"))
@@ -429,14 +438,17 @@ def links(docs: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY, gr
     met = members.join(found, "line").select("grp", "line", "text").repartition("grp").sortWithinPartitions("grp")
     edges = stored(met.mapInArrow(verify, "a long, b long").distinct(), "line-links")
     if not hot.isEmpty():
-        edges = _hot_links(hot.distinct(), found, edges, similarity, group, pivots)
+        edges = hot_links(hot.distinct(), found, edges, _sets, similarity, group, pivots)
     discard(groups)
     discard(found)
     return edges
 
 
-def _hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, similarity: float, group: int, pivots: int) -> DataFrame:
-    """edges and the links within hot buckets (grp, line), found by pivots round after round."""
+Sets = Callable[[list[str]], list[np.ndarray]]
+
+
+def hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, sets_of: Sets, similarity: float, group: int, pivots: int) -> DataFrame:
+    """edges and the links within hot buckets (grp, line), found by pivots round after round; found has each line's text."""
     spark = hot.sparkSession
     rows = stored(hot, "hot-lines")
     sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
@@ -450,14 +462,14 @@ def _hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, similarity: f
             out, rest = [], []
             for grp, salt, line, text, pivot in zip(*(c.to_pylist() for c in batch.columns)):
                 if (grp, salt) != at:
-                    out += _against(sets, heads, rest, similarity)
+                    out += _against(sets, heads, rest, sets_of, similarity)
                     at, heads, sets, rest = (grp, salt), [], [], []
                 if pivot:
                     heads.append(line)
-                    sets += _sets([text])
+                    sets += sets_of([text])
                 else:
                     rest.append((line, text))
-            out += _against(sets, heads, rest, similarity)
+            out += _against(sets, heads, rest, sets_of, similarity)
             yield _edges(out)
 
     done = None
@@ -483,11 +495,11 @@ def _hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, similarity: f
         free_shuffles(spark)
 
 
-def _against(sets: list[np.ndarray], heads: list[int], rest: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
+def _against(sets: list[np.ndarray], heads: list[int], rest: list[tuple[int, str]], sets_of: Sets, similarity: float) -> list[tuple[int, int]]:
     """Links of pivots with other lines."""
     if not heads or not rest:
         return []
-    met = _sets([t for _, t in rest])
+    met = sets_of([t for _, t in rest])
     size = np.array([len(x) for x in met] + [0])
     others, out = np.arange(len(rest)), []
     for head, own in zip(heads, sets):

@@ -83,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> g
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
     )
-    rows = document_statistics(texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).limit(train_rows)
+    rows = document_statistics(texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(train_rows)  # the same where ids repeat
     known: dict[int, list[float]] = {}
     for r in chosen.collect():
         known.setdefault(r.doc_id, []).append(r.quality)

@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     known: dict[int, bool] = {}
     for r in chosen.collect():
         known[r.doc_id] = known.get(r.doc_id, False) or r.toxic
-    rows = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").limit(train_rows)
-
+    rows = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows)  # the same where ids repeat
     return fit([(t, known[d]) for d, t in sorted(((r.doc_id, r.text or "") for r in rows.toLocalIterator()))])
 
 

@@ -3,8 +3,9 @@
 import pytest
 
 import corpus_pipeline as C
-from logfold.llm import packing, pii, quality, simhash
+from logfold.llm import packing, pii, quality
 from tests.llm.test_lines import brute as brute_lines
+from tests.llm.test_near import brute as brute_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,16 +44,40 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
-    rows = [(d, simhash.fingerprint(t, 5)) for d, t in zip(stages[2].doc_id, stages[2].text)]
-    left, stay = sorted(rows), set()
-    while left:
-        group, left = [left[0]], left[1:]
-        for _, f in group:
-            near = [x for x in left if (x[1] ^ f).bit_count() <= 4]
-            group += near
-            left = [x for x in left if x not in near]
-        stay.add(group[0][0])
-    assert set(stages[3].doc_id) == stay
+    classes = brute_near(list(zip(stages[2].doc_id.tolist(), stages[2].text.tolist())))
+    assert set(stages[3].doc_id) == {d for d, least in classes.items() if d == least}
+
+
+def test_near_copies_are_caught(spark):
+    """Of planted copies with a few words changed (a similarity of 0.8 or more), nine in ten and more go."""
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        for c in range(3):
+            other = list(words)
+            for _ in range(r.randint(0, 4)):
+                other[r.randrange(200)] = f"x{k}{c}"
+            rows.append((1000 + 3 * k + c, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in C.near_stage(spark, docs, "").select("doc_id").collect()}
+    assert kept >= set(range(60)) and len(kept) - 60 <= 18
+
+
+def test_empty_and_odd_tables(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (1, "", "en", "a", 0), (2, "a b c", None, "a", 5), (2, "a b c", None, "a", 5), (None, "d " * 80 + "e", "en", "b", 1)]
+    for data, n in (([], 0), (rows, None)):
+        docs = spark.createDataFrame(data, schema)
+        for name, f in C.STAGES:
+            before = docs
+            docs = f(spark, docs, SF)
+            assert name == "packing" or docs.columns == before.columns
+        assert n is None or docs.count() == n
+        docs.collect()
 
 
 def test_personal_data(stages):
