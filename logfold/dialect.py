@@ -1,4 +1,4 @@
-"""SQLite's SQL as Spark's: a statement splitter and rewrites over tokens, never inside literals or comments."""
+"""SQLite's text: tokens, statements, and the way to the translator."""
 
 from __future__ import annotations
 
@@ -87,135 +87,8 @@ def _arguments(ts: list[Token]) -> list[list[Token]]:
     return out
 
 
-def translate(sql: str) -> str:
-    """One query for Spark."""
-    return _set_operations(_rewrite(tokens(sql))).strip().rstrip(";").strip()
-
-
-def _rewrite(ts: list[Token]) -> list[Token]:
-    out: list[Token] = []
-    k = 0
-    while k < len(ts):
-        t = ts[k]
-        nxt = _next(ts, k)
-        call = t.kind == "name" and nxt < len(ts) and ts[nxt].text == "("
-        if call and t.word in _CALLS:
-            end = _close(ts, nxt)
-            args = [_join(_rewrite(a)).strip() for a in _arguments(ts[nxt + 1 : end])]
-            if (new := _CALLS[t.word](args)) is not None:
-                out.append(Token("call", new))
-                k = end + 1
-                continue
-        if t.kind == "number" and re.search(r"[.eE]", t.text):
-            out.append(Token("number", t.text + "D"))
-        elif t.kind == "name" and t.text[0] in '"[':
-            out.append(Token("name", "`" + t.text[1:-1].replace('""', '"') + "`"))
-        elif t.word == "LIKE" and t.kind == "name":
-            out.append(Token("name", "ILIKE"))
-        elif t.word == "NOCASE" and t.kind == "name":
-            out.append(Token("name", "UTF8_LCASE"))
-        elif t.word == "IS" and t.kind == "name" and nxt < len(ts):
-            other = _next(ts, nxt)
-            if ts[nxt].word == "NOT" and other < len(ts) and ts[other].word not in ("NULL", "TRUE", "FALSE", "DISTINCT"):
-                out.append(Token("name", "IS DISTINCT FROM"))
-                k = nxt
-            elif ts[nxt].word not in ("NOT", "NULL", "TRUE", "FALSE", "DISTINCT"):
-                out.append(Token("name", "IS NOT DISTINCT FROM"))
-            else:
-                out.append(t)
-        elif t.word == "LIMIT" and t.kind == "name":
-            rest = _next(ts, nxt)
-            if rest < len(ts) and ts[rest].text == ",":
-                count = _next(ts, rest)
-                out += [Token("name", "LIMIT"), Token("space", " "), ts[count], Token("space", " "), Token("name", "OFFSET"), Token("space", " "), ts[nxt]]
-                k = count
-            else:
-                out.append(t)
-        elif t.text == "->>" and nxt < len(ts) and ts[nxt].kind == "text":
-            while out and out[-1].kind == "space":
-                out.pop()
-            left = [out.pop()]
-            while len(out) > 1 and out[-1].text == ".":
-                left = [out.pop(-2), out.pop(), *left]
-            path = ts[nxt].text[1:-1]
-            out.append(Token("call", f"get_json_object({_join(left)}, '{path if path.startswith('$') else '$.' + path}')"))
-            k = nxt
-        else:
-            out.append(t)
-        k += 1
-    return out
-
+def translate(sql: str, schemas=lambda name: None, args: list | None = None, facts: dict[str, int] | None = None) -> str:
+    """One query for Spark; see query.Translator."""
+    from logfold.query import Translator
 
-def _if_many(name: str):
-    return lambda a: f"{name}({', '.join(a)})" if len(a) > 1 else None
-
-
-def _null_strict(name: str):
-    """Scalar min and max: with one argument they are aggregates and stay."""
-    return lambda a: f"CASE WHEN {' AND '.join(f'({x}) IS NOT NULL' for x in a)} THEN {name}({', '.join(a)}) END" if len(a) > 1 else None
-
-
-def _substr(a: list[str]) -> str | None:
-    if len(a) == 3 and a[1] == "0":
-        return f"substr({a[0]}, 1, greatest(({a[2]}) - 1, 0))"
-    return f"substr({', '.join(['' + a[0], '1' if a[1] == '0' else a[1], *a[2:]])})"
-
-
-_CALLS = {
-    "IIF": lambda a: f"if({', '.join(a if len(a) > 2 else [*a, 'NULL'])})",
-    "IFNULL": _if_many("coalesce"),
-    "TOTAL": lambda a: f"coalesce(sum(cast({a[0]} AS double)), 0.0D)",
-    "ROUND": lambda a: f"round(cast({a[0]} AS double){''.join(', ' + x for x in a[1:])})",
-    "SUBSTR": _substr,
-    "SUBSTRING": _substr,
-    "MAX": _null_strict("greatest"),
-    "MIN": _null_strict("least"),
-    "UNICODE": lambda a: f"ascii({a[0]})",
-    "PRINTF": lambda a: f"format_string({', '.join(a)})",
-    "FORMAT": lambda a: f"format_string({', '.join(a)})",
-    "GROUP_CONCAT": lambda a: f"listagg(cast({a[0]} AS string), {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})",
-    "JSON_EXTRACT": lambda a: f"get_json_object({', '.join(a)})" if len(a) == 2 else None,
-    "JSON_GROUP_ARRAY": lambda a: f"to_json(collect_list({a[0]}))",
-    "JSON_GROUP_OBJECT": lambda a: f"to_json(map_from_entries(collect_list(struct({a[0]}, {a[1]}))))",
-    "ZEROBLOB": lambda a: f"unhex(repeat('00', {a[0]}))",
-    "UNIXEPOCH": lambda a: f"unix_timestamp({', '.join(a)})",
-    "JULIANDAY": lambda a: f"(unix_timestamp({a[0]}) / 86400.0D + 2440587.5D)",
-}
-
-
-def _set_operations(ts: list[Token]) -> str:
-    """Compound queries in SQLite's order: from the left, all operators alike. Spark binds INTERSECT tighter."""
-    parts, signs, depth, k = [[]], [], 0, 0
-    while k < len(ts):
-        t = ts[k]
-        depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind == "sign" else 0
-        if not depth and t.kind == "name" and t.word in ("UNION", "INTERSECT", "EXCEPT"):
-            sign, nxt = t.word, _next(ts, k)
-            if nxt < len(ts) and ts[nxt].word == "ALL":
-                sign, k = sign + " ALL", nxt
-            signs.append(sign)
-            parts.append([])
-        else:
-            parts[-1].append(t)
-        k += 1
-    if "INTERSECT" not in signs or len(signs) < 2:
-        return _join(ts)
-    tail: list[Token] = []
-    last, depth = parts[-1], 0
-    for j, t in enumerate(last):
-        depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind == "sign" else 0
-        if not depth and t.word in ("ORDER", "LIMIT") and t.kind == "name":
-            parts[-1], tail = last[:j], last[j:]
-            break
-    head, first = "", _join(parts[0]).strip()
-    if first.upper().startswith("WITH"):
-        depth = 0
-        for j, t in enumerate(parts[0]):
-            depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind == "sign" else 0
-            if not depth and t.word == "SELECT" and t.kind == "name":
-                head, first = _join(parts[0][:j]), _join(parts[0][j:]).strip()
-                break
-    text = first
-    for sign, part in zip(signs, parts[1:]):
-        text = f"({text}) {sign} {_join(part).strip()}"
-    return f"{head}{text} {_join(tail)}"
+    return Translator(sql, schemas, args, facts).translate()
