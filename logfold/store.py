@@ -144,7 +144,7 @@ class PageStore:
             return "BUSY", self.applied
         try:
             last = self.applied
-            if wire.decode(raw)["id"] in self.table.manifest().entries:
+            if self.table.applied(wire.decode(raw)["id"]):
                 return "OK", last
             if base != last:
                 return "STALE_BASE", last
