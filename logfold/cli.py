@@ -5,14 +5,15 @@ from __future__ import annotations
 import sys
 from collections import deque
 from collections.abc import Iterable
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 
 from logfold import dialect
 from logfold.engine import Engine
 
-#: Rows that a statement prints; the shell is for looking.
-SHOWN = 1000
+#: Rows that set the columns' widths; all rows are printed.
+MEASURED = 1000
 HISTORY = 5000
 COMMANDS = (".addvoter", ".exit", ".help", ".load", ".quit", ".removevoter", ".schema", ".servers", ".snapshot", ".tables")
 
@@ -25,15 +26,14 @@ def render(value) -> str:
     return str(value)
 
 
-def format_table(df: DataFrame | None, header: bool = True, limit: int = SHOWN) -> str:
+def format_table(df: DataFrame | None, header: bool = True) -> str:
+    """All rows as text; they come to the driver a partition at a time."""
     if df is None or not df.columns:
         return "OK"
-    rows = [[render(v) for v in r] for r in df.limit(limit + 1).collect()]
-    more, rows = len(rows) > limit, rows[:limit]
-    lines = ([df.columns] if header else []) + rows
+    rows = ([render(v) for v in r] for r in df.toLocalIterator())
+    lines = ([df.columns] if header else []) + list(islice(rows, MEASURED))
     width = [max((len(x[k]) for x in lines), default=0) for k in range(len(df.columns))]
-    text = ["  ".join(v.ljust(w) for v, w in zip(x, width)).rstrip() for x in lines]
-    return "\n".join(text + (["..."] if more else []))
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(x, width)).rstrip() for x in chain(lines, rows))
 
 
 class Shell:

@@ -31,7 +31,8 @@ def kind_of(spark_type: str) -> str:
 
 
 def text_literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    plain = s.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + re.sub(r"[\x00-\x1f]", lambda m: f"\\u{ord(m[0]):04x}", plain) + "'"
 
 
 def literal(value) -> str:

@@ -1,6 +1,7 @@
 """Dialect rewrites, column functions, the engine and the shell, with sqlite3 as the judge."""
 
 import io
+import random
 import sqlite3
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from logfold import cli, dialect
 from logfold.engine import Engine
 from logfold.functions import sqlite as S
-from logfold.model import ConstraintError, InvalidChangeError
+from logfold.model import ConstraintError, InvalidChangeError, StaleBaseError
 
 
 def test_splitter():
@@ -119,6 +120,79 @@ def test_transactions(engine):
         engine.execute("COMMIT")
 
 
+SCHEMA = """
+CREATE TABLE rec(id INTEGER PRIMARY KEY AUTOINCREMENT, name TEXT NOT NULL, rev INTEGER NOT NULL, at INTEGER NOT NULL, gone INTEGER, tag TEXT, body BLOB, UNIQUE(name, rev));
+CREATE TABLE todo(id INTEGER PRIMARY KEY AUTOINCREMENT, what TEXT NOT NULL, rec_id INTEGER NOT NULL, due INTEGER NOT NULL DEFAULT 0);
+CREATE TRIGGER grows BEFORE INSERT ON rec FOR EACH ROW BEGIN
+  SELECT CASE WHEN NEW.rev < (SELECT max(rev) FROM rec WHERE name = NEW.name) THEN RAISE(ABORT, 'a rev may not fall') END; END;
+CREATE TRIGGER newest AFTER INSERT ON rec BEGIN UPDATE rec SET gone = NEW.at WHERE gone IS NULL AND name = NEW.name AND rev < NEW.rev; END;
+CREATE TRIGGER told AFTER INSERT ON rec BEGIN INSERT INTO todo(what, rec_id) VALUES ('put', NEW.id); END;
+CREATE TRIGGER told_gone AFTER INSERT ON rec WHEN NEW.gone IS NOT NULL BEGIN INSERT INTO todo(what, rec_id, due) VALUES ('out', NEW.id, NEW.gone); END;
+CREATE TRIGGER told_tag AFTER UPDATE ON rec WHEN NEW.tag IS NOT OLD.tag OR NEW.body IS NOT OLD.body BEGIN INSERT INTO todo(what, rec_id) VALUES ('set', NEW.id); END;
+CREATE TRIGGER told_out AFTER UPDATE OF gone ON rec WHEN NEW.gone IS NOT NULL AND OLD.gone IS NULL BEGIN INSERT INTO todo(what, rec_id, due) VALUES ('out', NEW.id, NEW.gone); END;
+CREATE TRIGGER forget AFTER DELETE ON rec BEGIN DELETE FROM todo WHERE rec_id = OLD.id; END;
+"""
+
+
+def test_triggers_equal_sqlite(engine):
+    """A random workload on records with an outbox: the same rows in both tables after every statement."""
+    r, db = random.Random(5), sqlite3.connect(":memory:")
+    db.executescript(SCHEMA)
+    engine.script(SCHEMA)
+    names: list[str] = []
+    for clock, kind in enumerate(("new", "bump", "tag", "soft", "bump", "drain"), 1):
+        name = r.choice(names) if names else ""
+        if kind == "new":
+            names.append(f"n{len(names)}")
+            sql, args = "INSERT INTO rec(name, rev, at, tag, body) VALUES (?, 1, ?, ?, ?)", [names[-1], clock, "t", b"{}"]
+        elif kind == "bump":
+            sql, args = "INSERT INTO rec(name, rev, at, tag, body) SELECT ?, coalesce(max(rev), 0) + 1, ?, ?, ? FROM rec WHERE name = ?", [name, clock, "u", b"[]", name]
+        elif kind == "soft":
+            sql, args = "UPDATE rec SET gone = ? WHERE name = ? AND gone IS NULL", [clock, name]
+        elif kind == "tag":
+            sql, args = "UPDATE rec SET tag = ? WHERE name = ?", [f"t{clock % 2}", name]
+        else:
+            sql, args = "DELETE FROM rec WHERE id IN (SELECT rec_id FROM todo WHERE what = 'out' AND due <= ?)", [clock]
+        done = db.execute(sql, args)
+        engine.execute(sql, args)
+        assert engine.changes == done.rowcount
+    for q in ("SELECT name, rev, at, gone, tag, body FROM rec ORDER BY name, rev", "SELECT what, name, rev, due FROM todo JOIN rec ON rec.id = rec_id ORDER BY 1, 2, 3, 4", "SELECT count(*) FROM todo"):
+        assert list(map(tuple, engine.execute(q).collect())) == db.execute(q).fetchall()
+    before = engine.table("rec").version, engine.table("todo").version
+    with pytest.raises(ConstraintError, match="a rev may not fall"):
+        engine.execute("INSERT INTO rec(name, rev, at) VALUES (?, -1, 99)", [db.execute("SELECT name FROM rec LIMIT 1").fetchone()[0]])
+    assert before == (engine.table("rec").version, engine.table("todo").version)
+    assert engine.execute("SELECT count(*) FROM sqlite_master WHERE type = 'trigger' AND tbl_name = 'rec'").first()[0] == 7
+    engine.script("DROP TRIGGER forget; DROP TABLE todo")
+    assert engine.tables() == ["rec"] and "forget" not in engine.schema("rec")
+
+
+def test_savepoints_and_two_tables(engine):
+    engine.script("CREATE TABLE a(id INTEGER PRIMARY KEY, v TEXT); CREATE TABLE b(id INTEGER PRIMARY KEY, v TEXT); INSERT INTO a VALUES (1, 'x')")
+    rows = lambda t: sorted(map(tuple, engine.execute(f"SELECT * FROM {t}").collect()))
+    engine.script("BEGIN IMMEDIATE; INSERT INTO a VALUES (2, 'y'); SAVEPOINT s; INSERT INTO b VALUES (1, 'z'); DELETE FROM a; ROLLBACK TO s; INSERT INTO b VALUES (7, 'w'); RELEASE s; COMMIT")
+    assert rows("a") == [(1, "x"), (2, "y")] and rows("b") == [(7, "w")]
+    engine.execute("BEGIN")
+    engine.execute("INSERT INTO a VALUES (3, 'q')")
+    with pytest.raises(ConstraintError):
+        engine.execute("INSERT INTO a VALUES (1, 'again')")  # a key that is there, inside a transaction
+    engine.execute("COMMIT")
+    assert rows("a") == [(1, "x"), (2, "y"), (3, "q")]
+    engine.execute("INSERT INTO a(v) VALUES ('n'), ('m')")
+    assert engine.changes == 2 and engine.execute("SELECT changes() AS c, last_insert_rowid() AS r").first() == (2, 5)
+
+
+def test_a_lost_race_leaves_no_table_changed(engine, spark):
+    engine.script("CREATE TABLE a(id INTEGER PRIMARY KEY, v TEXT); CREATE TABLE b(id INTEGER PRIMARY KEY, v TEXT)")
+    engine.script("BEGIN IMMEDIATE; INSERT INTO a VALUES (1, 'x'); INSERT INTO b VALUES (1, 'x')")
+    Engine(spark, engine.root).execute("INSERT INTO b VALUES (5, 'other')")
+    with pytest.raises(StaleBaseError):
+        engine.execute("COMMIT")
+    assert engine.execute("SELECT count(*) FROM a").first()[0] == 0 and engine.execute("SELECT id FROM b").first()[0] == 5
+    engine.execute("INSERT INTO a VALUES (9, 'later')")  # over what was given up
+    assert engine.execute("SELECT id FROM a").first()[0] == 9
+
+
 def test_shell(engine, tmp_path):
     shell, out = cli.Shell(engine), io.StringIO()
     (tmp_path / "s.sql").write_text("CREATE TABLE u(id INTEGER PRIMARY KEY, b BLOB); INSERT INTO u VALUES (1, x'ff00'), (2, NULL);")

@@ -158,7 +158,7 @@ def test_stream_equals_batch(spark, make, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     t = make()
     for _ in range(2):  # the second run finds nothing new
-        apply.run(t, spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/log"), f"{tmp_path}/ck").awaitTermination()
+        apply.run(t, apply.log_stream(spark, f"{tmp_path}/log", schema, 2), f"{tmp_path}/ck").awaitTermination()
     want = {}
     for _, k, v, op in log:
         want.pop(k, None)
@@ -169,4 +169,76 @@ def test_stream_equals_batch(spark, make, tmp_path):
     apply.apply_batch(t, spark.createDataFrame(log, schema), 99)
     assert t.version == version
     with pytest.raises(apply.GapError):
-        apply.apply_batch(t, spark.createDataFrame([(125, 1, "x", "U")], schema), 100, refuse_gaps=True)
+        apply.apply_batch(t, spark.createDataFrame([(125, 1, "x", "U")], schema), 100)
+    apply.apply_batch(t, spark.createDataFrame([(125, 1, "x", "U")], schema), 100, refuse_gaps=False)
+    assert apply.late(t) is None and t.get(1)["v"] == "x"
+    apply.apply_batch(t, spark.createDataFrame([(123, 77, "late", "U")], schema), 101, refuse_gaps=False)
+    assert t.get(77) is None and [(r.idx, r.v, r.status) for r in apply.late(t).collect()] == [(123, "late", "STALE_BASE")]
+
+
+def test_replays_are_known_for_ever(spark, make, monkeypatch):
+    t = make()
+    monkeypatch.setattr("logfold.table.FOLD", 4)
+    one = lambda k: spark.createDataFrame([(k, f"v{k}")], "id long, v string")
+    for k in range(6):
+        t.upsert(one(k), entry_id=f"e{k}")
+    t.vacuum(keep=1, min_age=0)
+    version = t.version
+    for k in range(6):
+        assert t.upsert(one(99), entry_id=f"e{k}") == version
+    assert len(dump(t)) == 6 and t.get(99) is None
+
+
+def test_deltas_fold_and_buckets_grow(spark, make, monkeypatch):
+    t = make()
+    monkeypatch.setattr("logfold.table.FOLD", 5)
+    monkeypatch.setattr("logfold.table.BUCKET_ROWS", 10)
+    want = {}
+    for k in range(7):
+        rows = [(j, f"{k}") for j in range(k * 7, k * 7 + 12)]
+        want |= dict(rows)
+        t.upsert(spark.createDataFrame(rows, "id long, v string"))
+        if k % 2:
+            t.delete(f"id = {k}")
+            want.pop(k)
+        assert dict(dump(t)) == want
+    m = t.manifest()
+    assert m.buckets > 4 and len(m.deltas) < 5 and t.integrity_check() == []
+    t.compact()
+    assert dict(dump(t)) == want and t.manifest().deltas == [] and t.get(20)["v"] == want[20]
+
+
+def test_readers_hold_back_vacuum_and_spare_manifests(spark, make):
+    t = make()
+    t.upsert(spark.createDataFrame([(1, "a")], "id long, v string"))
+    with t.pin() as rows:
+        for k in range(3):
+            t.upsert(spark.createDataFrame([(1, f"{k}")], "id long, v string"))
+            t.compact()
+        t.vacuum(keep=1, min_age=0)
+        assert rows.collect() == [(1, "a")] and 1 in t.versions()
+    t.vacuum(keep=1, min_age=0)
+    assert t.versions() == [t.version]
+    path = t._manifest(t.version).removeprefix("file://")
+    with open(path, "w") as f:
+        f.write('{"version"')  # torn
+    assert dump(t) == [(1, "2")]
+
+
+def test_data_without_a_log_is_refused(spark, make, tmp_path):
+    t = make()
+    t.upsert(spark.createDataFrame([(1, "a")], "id long, v string"))
+    t.files.delete(f"{t.path}/_log")
+    with pytest.raises(InvalidChangeError, match="without a log"):
+        make()
+
+
+def test_an_undecided_commit_is_given_up(spark, make, monkeypatch):
+    t = make()
+    one = spark.createDataFrame([(1, "a")], "id long, v string")
+    txn = f"{t.path}/_txn"
+    assert t.commit(t._puts(one), txn=txn) == 1 and t.version == 0 and dump(t) == []
+    with pytest.raises(StaleBaseError):
+        t.upsert(one)  # another writer is at it
+    monkeypatch.setattr("logfold.table.UNDECIDED", 0.0)
+    assert t.upsert(one.withColumn("v", F.lit("b"))) == 2 and t.decide(txn) == "abort" and dump(t) == [(1, "b")]
