@@ -59,6 +59,12 @@ def transactions(df: DataFrame, order: str, commit: Column, name: str = "txn", w
     return ordered.running_sum_before(df.withColumn("is_commit", commit.cast("int")), order, F.col("is_commit"), name, width)
 
 
+def uncommitted(df: DataFrame, idx: str, is_commit: Column) -> DataFrame:
+    """The rows behind the last commit: one number and a filter."""
+    last = df.where(is_commit).agg(F.max(idx).alias("_last"))
+    return df.join(F.broadcast(last), F.col(idx) > F.coalesce(F.col("_last"), F.lit(-(2**63)))).drop("_last")
+
+
 def committed(frames: DataFrame) -> DataFrame:
     """txn, pages and commit_frame of transactions that reached their commit frame."""
     found = frames.groupBy("txn").agg(F.count(F.lit(1)).alias("pages"), F.max("event_id").alias("commit_frame"), F.max("is_commit").alias("_done"))

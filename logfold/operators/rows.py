@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of changes replace those of base with their key."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of changes replace those of base with their key. Of several changes of a key the last by order counts; without
+    an order the greatest row, so that runs agree."""
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    changes = changes.groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max_by(row, F.col(order) if order else row).alias("_r")).select("_r.*")
     return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(changes.select(*base.columns))
 
 

@@ -90,9 +90,9 @@ def compaction_candidates(spark, sf_dir):
     return log.superseded(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 5000).select("event_id", "user_id")
 
 
-@query("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS VARCHAR) AS nothing, 1 AS truth")
+@query("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS VARCHAR) AS nothing, 1 AS truth, 'FF00' AS octets")
 def const_select(spark, sf_dir):
-    return spark.sql("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS STRING) AS nothing, CAST(1 = 1 AS INT) AS truth")
+    return spark.sql("SELECT 1 AS one, 7 AS lucky, CAST(NULL AS STRING) AS nothing, CAST(1 = 1 AS INT) AS truth, hex(X'ff00') AS octets")
 
 
 # Transactions.
@@ -105,8 +105,7 @@ def txn_segments(spark, sf_dir):
 
 @query(_SEG + "SELECT event_id FROM seg WHERE txn NOT IN (SELECT txn FROM seg WHERE c = 1)")
 def uncommitted_tail(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
-    return frames.join(frames.where("is_commit = 1").select("txn"), "txn", "left_anti").select("event_id")
+    return log.uncommitted(table(spark, sf_dir, "events"), "event_id", F.col("event_type") == "purchase").select("event_id")
 
 
 @query(_SEG + "SELECT txn, user_id, max(event_id) AS frame FROM seg GROUP BY txn, user_id")
@@ -298,7 +297,7 @@ def join_agg(spark, sf_dir):
 def setops(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
     both = orders.select("k").union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
-    return both.exceptAll(both.limit(0)).distinct().subtract(orders.where("o_orderstatus = 'F' AND k % 15 = 0").select("k"))
+    return both.distinct().subtract(orders.where("o_orderstatus = 'F' AND k % 15 = 0").select("k"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -343,22 +342,14 @@ def left_join(spark, sf_dir):
     return c.join(orders, c.c_custkey == orders.o_custkey, "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT o_orderkey, (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS most FROM orders WHERE o_orderkey <= 500")
-def correlated_max(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 500").select("o_orderkey")
-    most = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500").groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"))
-    return orders.join(most, orders.o_orderkey == most.l_orderkey, "left").select("o_orderkey", "most")
-
-
 @query("SELECT o_orderkey, (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS most FROM orders")
-def correlated_max_all(spark, sf_dir):
-    """The same for every order; correlated_max keeps to the keys that its SQL names."""
+def correlated_max(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     most = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"))
     return orders.join(most, orders.o_orderkey == most.l_orderkey, "left").select("o_orderkey", "most")
 
 
-@query()
+@query("SELECT table_name AS name FROM information_schema.tables WHERE table_schema = 'main' ORDER BY name")
 def catalog(spark, sf_dir):
     """The tables there are in a folder, by name; none in an empty one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)

@@ -262,7 +262,11 @@ class Translator:
                     break
         grouped = bool(groups) or bool(core.calls)
         out = out.replace("\x04", core.hidden if core.ordered else "")
-        texts = [core.over(self.closed(sql, core, groups, grouped)) + (f" AS {self.quoted(alias)}" if alias else "") for sql, alias, _ in items]
+        texts = []
+        for sql, alias, own in items:
+            text = core.over(self.closed(sql, core, groups, grouped))
+            alias = alias or (own.column if text != self.strip(sql) else "")
+            texts.append(text + (f" AS {self.quoted(alias)}" if alias else ""))
         self.cores.pop()
         return f"SELECT {'DISTINCT ' if distinct else ''}{', '.join(texts)}{out}", kinds, (core, groups)
 

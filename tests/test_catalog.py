@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from logfold.operators import log, ordered
-from logfold.plans import catalog
+from logfold.operators import joins, log, ordered, rows
+from logfold.plans import catalog, statements  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,19 @@ def test_catalog_lists_the_folder(spark, tmp_path):
     for name in ("b.parquet", "a.parquet", "notes.txt", ".hidden.parquet"):
         (tmp_path / name).mkdir()
     assert [r.name for r in catalog.QUERIES["catalog"](spark, str(tmp_path)).collect()] == ["a", "b"]
+
+
+def test_the_last_change_of_a_key_counts(spark):
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, n long")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1)], "k long, v string, n long")
+    assert sorted(map(tuple, rows.upsert(base, changes, "k", "n").collect())) == [(1, "x", 2), (2, "b", 0), (3, "z", 1)]
+
+
+def test_range_join_equals_a_loop(spark):
+    import random
+
+    r = random.Random(3)
+    points = [(k, None if k % 19 == 0 else r.uniform(-50, 50)) for k in range(120)]
+    spans = [(k, a := r.uniform(-60, 60), a + r.choice([-1, 0, 0.01, 1, 7, 40, 200])) for k in range(60)]
+    got = joins.range_join(spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(spans, "s long, a double, b double"), "x", "a", "b")
+    assert sorted((g.p, g.s) for g in got.collect()) == sorted((p, s) for p, x in points for s, a, b in spans if x is not None and a <= x < b)
