@@ -5,8 +5,9 @@ email at its @, the rest at digits or a plus sign, so that scanning a text is li
 
 Disguised identifiers are found by a chain of small transducers. Each rewrites the text left to right and carries, for
 every character it emits, where the source characters begin and end: homoglyphs (full-width and other compatibility forms,
-Cyrillic and Greek look-alikes next to Latin or digits) become ASCII, runs of spelled digits become digits, and the
-disguises of @ and of the dot become those signs: after an @, however written, any last label of letters ends a domain,
+Cyrillic, Greek and Armenian look-alikes, digits of any script) become ASCII, runs of spelled digits (with double and triple)
+become digits, also as the parts of an address with its dots written out, and the disguises of @ and of the dot become
+those signs: after an @, however written, any last label of letters ends a domain,
 but a bare "at ... dot ..." that reads as prose ("look at the dot on") needs a last label of a fixed list. The base patterns are then run on the rewritten text and their spans
 mapped back. Found spans that meet a base span of their kind are not added. A rewritten match counts only if one of its
 characters was rewritten.
@@ -78,11 +79,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 # Fixed look-alikes: Cyrillic and Greek letters drawn like Latin ones, and signs drawn like @, dot, plus and hyphen.
-_ALIKE = dict(zip("аВсеЕНіјКМорРТхуѕАСОХΑΒΕΗΙΚΜΝΟΡΤΥΖαορνι", "aBceEHijKMopPTxysACOXABEHIKMNOPTYZaopvi")) | dict(zip("。．․﹒‧∙＠﹫＋﹢‐‑‒–—−﹣－", "......@@++--------"[:18]))
+_ALIKE = dict(zip("аВсеЕНіјКМорРТхуѕАСОХΑΒΕΗΙΚΜΝΟΡΤΥΖαορνι", "aBceEHijKMopPTxysACOXABEHIKMNOPTYZaopvi")) | dict(zip("ԁԛԝһӏɡօսոқ", "dqwhlgounk")) | dict(zip("。．․﹒‧∙＠﹫＋﹢‐‑‒–—−﹣－", "......@@++--------"[:18]))
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(_SPELLED)
-_SPELLED_RUN = re.compile(rf"\b(?:{_WORD}|[0-9])(?:[ ,.-]{{0,2}}(?:{_WORD}|[0-9]))+\b", re.I)
-_ONE = re.compile(rf"{_WORD}|[0-9]", re.I)
+_TIMES = {"double": 2, "triple": 3}
+_UNIT = rf"(?:(?:double|triple) )?(?:{_WORD}|[0-9])"
+_SPELLED_RUN = re.compile(rf"\b{_UNIT}(?:[ ,.-]{{0,2}}{_UNIT})+\b", re.I)
+_ONE = re.compile(rf"(?:(double|triple) )?({_WORD}|[0-9])", re.I)
+#: Four parts of an address with their dots written out, the parts in figures or in spelled digits.
+_OCTET = rf"(?:[0-9]{{1,3}}|{_UNIT}(?:[ -]{_UNIT}){{0,2}})"
+_IP_DOTS = re.compile(rf"(?<![\w.]){_OCTET}(?:\s+(?:dot|point)\s+{_OCTET}){{3}}(?![\w.]*[0-9])", re.I)
+_IP_PART = re.compile(rf"(?P<dot>\s+(?:dot|point)\s+)|{_ONE.pattern}", re.I)
+#: An address with its signs as words between underscores or hyphens.
+_KNOTTED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]*?[A-Za-z0-9]([_-])at\1[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?(?:\1dot\1[A-Za-z0-9]+)*\1dot\1[A-Za-z]{2,24}(?![\w-])", re.I)
+_KNOT = re.compile(r"([_-])(at|dot)\1", re.I)
 _PLUS = re.compile(r"\bplus (?=[0-9])", re.I)
 #: Last labels of a domain that count in any frame; where no at or dot frame is sure, only these count.
 _ENDS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
@@ -100,7 +110,7 @@ _FRAMED_DOT = re.compile(r"\s*([\[({<]?)\s*(?:\bdot\b|(?<=[\[({<\s])\.)\s*[\])}>
 _DOT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{{\s*(?:dot|\.)\s*\}}|<\s*(?:dot|\.)\s*>|\bdot(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{0,6}}(?:{_ENDS})\b))\s*", re.I)
 _AROUND_AT = re.compile(r"(?<!\s)\s+@\s+(?=[A-Za-z0-9-]+\s*\.)|(?<!\s)\s+@(?=[A-Za-z0-9-]+\.)")
 #: What the transducers can rewrite has one of these; texts without any hold no disguise. Letters with accents are not look-alikes.
-_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|\bdot\b|[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\s@|(?:{_WORD})[ ,.-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{0,2}}(?:{_WORD})|\bplus [0-9]", re.I)
+_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|(?![0-9])\d|[_-]at[_-]|\b(?:double|triple) |\bpoint\b|\bdot\b|[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\s@|(?:{_WORD})[ ,.-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{0,2}}(?:{_WORD})|\bplus [0-9]", re.I)
 
 _Tape = tuple[str, list[int], list[int], list[bool]]
 
@@ -137,15 +147,37 @@ def _rewrite(tape: _Tape, pattern: re.Pattern, by) -> _Tape:
 def _alike(m: re.Match) -> list[tuple[str, int, int]] | None:
     char = m[0]
     plain = _ALIKE.get(char) or unicodedata.normalize("NFKC", char)
+    if not plain.isascii() and unicodedata.digit(char, None) is not None:
+        plain = str(unicodedata.digit(char))
     return [(x, m.start(), m.end()) for x in plain] if plain.isascii() and plain != char else None
 
 
 def _spelled(m: re.Match) -> list[tuple[str, int, int]] | None:
     parts = list(_ONE.finditer(m.string, m.start(), m.end()))
-    words = sum(not p[0].isdigit() for p in parts)
-    if len(parts) < 7 or not words:
-        return None
-    return [(_SPELLED.get(p[0].lower(), p[0]), p.start(), p.end()) for p in parts]
+    out = [(_SPELLED.get(p[2].lower(), p[2]), p.start(), p.end()) for p in parts for _ in range(_TIMES.get((p[1] or "").lower(), 1))]
+    return out if len(out) >= 7 and any(p[1] or not p[2].isdigit() for p in parts) else None
+
+
+def _dotted(m: re.Match) -> list[tuple[str, int, int]]:
+    out = []
+    for p in _IP_PART.finditer(m.string, m.start(), m.end()):
+        if p["dot"]:
+            out.append((".", p.start(), p.end()))
+        else:
+            out += [(_SPELLED.get(p[3].lower(), p[3]), p.start(), p.end())] * _TIMES.get((p[2] or "").lower(), 1)
+    return out
+
+
+def _knotted(m: re.Match) -> list[tuple[str, int, int]]:
+    out, last, seen = [], m.start(), False
+    for k in _KNOT.finditer(m.string, m.start(), m.end()):
+        if (k[2].lower() == "at") == seen:  # one at, then dots
+            continue
+        seen = True
+        out += [(m.string[i], i, i + 1) for i in range(last, k.start())]
+        out.append(("@" if k[2].lower() == "at" else ".", k.start(), k.end()))
+        last = k.end()
+    return out + [(m.string[i], i, i + 1) for i in range(last, m.end())]
 
 
 def _sign(sign: str):
@@ -184,7 +216,7 @@ def _framed(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out + [(m.string[k], k, k + 1) for k in range(last, m.end())]
 
 
-_LOOKS = re.compile(f"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]")
+_LOOKS = re.compile(f"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|(?![0-9])\\d")
 
 
 def normalise(text: str) -> _Tape:
@@ -192,6 +224,8 @@ def normalise(text: str) -> _Tape:
     n = len(text)
     tape: _Tape = (text, list(range(n)), list(range(1, n + 1)), [False] * n)
     tape = _rewrite(tape, _LOOKS, _alike)
+    tape = _rewrite(tape, _KNOTTED, _knotted)
+    tape = _rewrite(tape, _IP_DOTS, _dotted)
     tape = _rewrite(tape, _AT, _at)
     tape = _rewrite(tape, _AROUND_AT, _sign("@"))
     tape = _rewrite(tape, _FRAMED, _framed)

