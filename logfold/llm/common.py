@@ -31,14 +31,14 @@ def scratch_root(spark: SparkSession) -> str:
     return (root or f"file://{tempfile.gettempdir()}/logfold-{os.getuid()}").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so later jobs start from the files. Where
     discard() doesn't delete it before, it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

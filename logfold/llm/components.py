@@ -37,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     Joins on a node, not windows, so that the optimizer can split a node of very high degree. Loops and nulls count
     for nothing; repeated edges are one. No edges: no rows.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", "snappy")
     while not _settled(now):
-        after = stored(_small_star(_large_star(now)), "edges")
+        after = stored(_small_star(_large_star(now)), "edges", "snappy")
         discard(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

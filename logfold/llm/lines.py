@@ -43,7 +43,7 @@ BLOCK = 100_000
 #: Cells (lines times shingles) of a group that are met in one matrix.
 CELLS = 4_000_000
 #: Keys a task remembers so that a line it has met is not banded again.
-SEEN = 500_000
+SEEN = 200_000
 #: Bytes of band rows in a partition, and of a run of them that a task holds before it sets hot buckets apart.
 PART_BYTES = 16_000_000
 HELD_BYTES = 64_000_000
@@ -110,7 +110,7 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _chunked(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in lots of bounded size."""
     lot, size = [], 0
     for batch in batches:

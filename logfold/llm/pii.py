@@ -109,8 +109,29 @@ _FRAMED = re.compile(r"@[A-Za-z0-9.-]+(?:(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*
 _FRAMED_DOT = re.compile(r"\s*([\[({<]?)\s*(?:\bdot\b|(?<=[\[({<\s])\.)\s*[\])}>]?\s*(?=([A-Za-z0-9-]+))", re.I)
 _DOT = re.compile(rf"(?<!\s)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{{\s*(?:dot|\.)\s*\}}|<\s*(?:dot|\.)\s*>|\bdot(?=\s+(?:[A-Za-z0-9-]+\s+dot\s+){{0,6}}(?:{_ENDS})\b))\s*", re.I)
 _AROUND_AT = re.compile(r"(?<!\s)\s+@\s+(?=[A-Za-z0-9-]+\s*\.)|(?<!\s)\s+@(?=[A-Za-z0-9-]+\.)")
-#: What the transducers can rewrite has one of these; texts without any hold no disguise. Letters with accents are not look-alikes.
-_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|(?![0-9])\d|[_-]at[_-]|\b(?:double|triple) |\bpoint\b|\bdot\b|[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\s@|(?:{_WORD})[ ,.-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{0,2}}(?:{_WORD})|\bplus [0-9]", re.I)
+_LOOK_SET = frozenset(_ALIKE) | {chr(k) for a, b in (("！", "～"), ("\U0001d400", "\U0001d7ff"), ("①", "⑳")) for k in range(ord(a), ord(b) + 1)} | {chr(k) for k in range(0x80, 0x110000) if unicodedata.category(chr(k)) == "Nd"}
+_LOOKS = re.compile(f"[{re.escape(''.join(sorted(_LOOK_SET)))}]")
+#: What else the transducers can rewrite, by a text in small letters that goes with each and a pattern for it.
+_HINTS = [
+    ((" @", "\t@", "\n@"), None),
+    (("@",), re.compile(r"\s@")),
+    (("dot", "point"), re.compile(r"\b(?:dot|point)\b")),
+    (("[", "(", "{", "<"), re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")),
+    (("_at_", "-at-"), None),
+    (("double ", "triple "), re.compile(rf"\b(?:double|triple) (?:{_WORD}|[0-9])")),
+    (("plus ",), re.compile(r"\bplus [0-9]")),
+    (tuple(_SPELLED), re.compile(rf"(?:{_WORD})[ ,.-]{{0,2}}(?:{_WORD}|[0-9])")),
+    (tuple(_SPELLED), re.compile(rf"[0-9][ ,.-]{{0,2}}(?:{_WORD})")),
+]
+
+
+def may_hide(text: str) -> bool:
+    """False only if no transducer can rewrite anything in the text. Letters with accents are not look-alikes."""
+    if not text.isascii() and not _LOOK_SET.isdisjoint(text):
+        return True
+    low = text.lower() if text.isascii() else text.casefold()
+    return any(any(w in low for w in words) and (pattern is None or pattern.search(low)) for words, pattern in _HINTS)
+
 
 _Tape = tuple[str, list[int], list[int], list[bool]]
 
@@ -216,9 +237,6 @@ def _framed(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out + [(m.string[k], k, k + 1) for k in range(last, m.end())]
 
 
-_LOOKS = re.compile(f"[{re.escape(''.join(_ALIKE))}！-～\U0001d400-\U0001d7ff①-⑳]|(?![0-9])\\d")
-
-
 def normalise(text: str) -> _Tape:
     """The rewritten text with, per character, where its source begins and ends and whether it was rewritten."""
     n = len(text)
@@ -236,7 +254,7 @@ def normalise(text: str) -> _Tape:
 
 def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of disguised identifiers that no base span of their kind meets."""
-    if not _TRIGGER.search(text):
+    if not may_hide(text):
         return []
     plain, begin, end, changed = normalise(text)
     if not any(changed):

@@ -82,7 +82,7 @@ PIECES = ["plus ", "Plus 44 ", "+1 ", "one", "Two ", "oh-", "four, ", "5", " 7 "
 def test_the_trigger_hides_no_span(text):
     guarded = pii.hidden_spans(text, pii.base_spans(text))
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(pii, "_TRIGGER", re.compile(""))
+        patch.setattr(pii, "may_hide", lambda text: True)
         assert guarded == pii.hidden_spans(text, pii.base_spans(text))
 
 
