@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ def pages(spark: SparkSession, path: str, skip: int = 0, per_task: int = 2048) -
     """pg_no (from 1) and data of every whole page, read in ranges; skip leaves out leading bytes."""
     with open_input(path) as f:
         size = page_size(f.read_at(min(DB_HEADER, max(f.size() - skip, 0)), skip))
-        n = (f.size() - skip) // size
+        n, rest = divmod(f.size() - skip, size)
+    if rest:
+        warnings.warn(f"{path}: {rest} bytes behind the last whole page are left out", stacklevel=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

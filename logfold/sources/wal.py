@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,6 +105,12 @@ class WalSource(DataSource):
 
 
 def frames(spark: SparkSession, path: str, frames_per_partition: int = RANGE) -> DataFrame:
+    """Whole frames; bytes behind the last one are warned of."""
+    with open_input(path) as f:
+        if f.size() >= HEADER:
+            rest = (f.size() - HEADER) % (FRAME_HEADER + decode_header(f.read_at(HEADER, 0))["page_size"])
+            if rest:
+                warnings.warn(f"{path}: {rest} bytes behind the last whole frame are left out", stacklevel=2)
     spark.dataSource.register(WalSource)
     return spark.read.format("wal").option("framesPerPartition", frames_per_partition).load(path)
 

@@ -18,13 +18,14 @@ from logfold.table import DROP, KEEP, Table
 
 @dataclass(frozen=True)
 class Options:
-    """Seconds to apply, to forward and to wait for the lease; when to compact: after so many changed pages (a negative
-    number: after every commit)."""
+    """Seconds that a writer tries again while the coordinator is busy or catching up, and that it waits for the lease; when
+    to compact: after so many changed pages (a negative number: after every commit), or so many seconds after the last time
+    if anything changed."""
 
-    apply_timeout: float = 5.0
     forward_timeout: float = 2.0
     lease_timeout: float = 1.0
     compact_pages: int = 1000
+    compact_seconds: float = 300.0
 
 
 class LogStore:
@@ -99,7 +100,7 @@ class PageStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16, options: Options = Options()):
         self.spark, self.options, self.leading, self.draining = spark, options, True, False
-        self.changed = 0
+        self.changed, self.compacted = 0, time.time()
         self._lock = threading.Lock()
         try:
             self.table = Table.open(spark, path)
@@ -124,11 +125,28 @@ class PageStore:
         own_beyond = changes.where(F.col("pg_no") > e["n_truncate"]).select("pg_no", "data", F.lit(DROP).alias("_op"), F.lit(2**41).alias("_seq"))
         self.table.commit(changes.unionByName(beyond).unionByName(own_beyond), m.version, e["id"], index=index)
         self.changed += len(rows)
-        if self.changed >= self.options.compact_pages:
-            self.table.compact()
-            self.changed = 0
+        self.tick()
         return index
 
+    def tick(self) -> bool:
+        """Compacts if it is time to; to be called now and then where nothing is written."""
+        due = self.changed >= self.options.compact_pages or self.changed and time.time() - self.compacted >= self.options.compact_seconds
+        if due:
+            self.table.compact()
+            self.changed, self.compacted = 0, time.time()
+        return bool(due)
+
+    def take_lead(self, log_store: LogStore) -> int:
+        """Becomes the coordinator: refuses writes until all that the log holds is applied, then accepts them."""
+        self.draining, self.leading = True, True
+        try:
+            return self.catch_up(log_store)
+        except Exception:
+            self.leading = False
+            raise
+        finally:
+            self.draining = False
+
     def handle(self, base: int, raw: bytes) -> tuple[str, int]:
         """status and the applied index after a request."""
         try:
@@ -158,7 +176,11 @@ class PageStore:
 
     def propose(self, entry_id: str, changed: list[tuple[int, bytes]], n_truncate: int, base: int | None = None) -> int:
         """The new applied index, or the error that the status stands for."""
-        status, last = self.handle(self.applied if base is None else base, wire.encode(entry_id, changed, n_truncate))
+        raw, until = wire.encode(entry_id, changed, n_truncate), time.time() + self.options.forward_timeout
+        status, last = self.handle(self.applied if base is None else base, raw)
+        while status in ("BUSY", "CATCHING_UP") and time.time() < until:
+            time.sleep(0.05)
+            status, last = self.handle(last if base is None else base, raw)
         if status == "OK":
             return last
         code, safe = log.OUTCOMES[status]

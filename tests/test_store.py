@@ -37,7 +37,7 @@ def image(s):
 
 
 def test_pages(spark, tmp_path):
-    s = PageStore(spark, f"{tmp_path}/db", 2, Options(compact_pages=4))
+    s = PageStore(spark, f"{tmp_path}/db", 2, Options(forward_timeout=0.2, compact_pages=4))
     assert s.propose("a", [(1, b"one"), (2, b"two"), (3, b"three")], 3) == 1
     assert s.propose("b", [(1, b"uno"), (1, b"UNO")], 2) == 2
     assert image(s) == {1: b"UNO", 2: b"two"}
@@ -76,6 +76,21 @@ def test_catch_up_and_race(spark, tmp_path):
     assert said.count("OK") == 1 and set(said) <= {"OK", "STALE_BASE", "BUSY"}
 
 
+def test_taking_the_lead_drains_the_log(spark, tmp_path):
+    log = LogStore(spark, f"{tmp_path}/log", 2)
+    log.store([{"idx": 1, "data": entry.encode("a", [(1, b"1")], 1)}])
+    s = PageStore(spark, f"{tmp_path}/db", 2, Options(forward_timeout=0.2, compact_seconds=0.0))
+    s.leading = False
+    assert s.handle(0, entry.encode("x", [(1, b"x")], 1))[0] == "NOT_LEADER"
+    assert s.take_lead(log) == 1 and s.leading and not s.draining and image(s) == {1: b"1"}
+    assert s.table.manifest().deltas == [] and not s.tick()  # compacted as time was up
+    assert s.propose("b", [(2, b"2")], 2) == 2
+    log.store([{"idx": 9, "data": entry.encode("c", [(1, b"9")], 1)}])
+    with pytest.raises(InvalidChangeError, match="missing 3"):
+        s.take_lead(log)
+    assert not s.leading
+
+
 def test_snapshot_and_restore(spark, tmp_path):
     first = bytearray(512)
     first[16:18] = (512).to_bytes(2, "big")
