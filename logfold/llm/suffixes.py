@@ -41,8 +41,8 @@ LENGTH = 200
 KMER = 32
 SYMBOL = 8
 #: Distinct segments of an anchor that one task merges, and bytes that a task merges at a time.
-GROUP = 8192
-LOT = 2_000_000
+GROUP = 4096
+LOT = 1_000_000
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -78,11 +78,20 @@ def _candidates(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     """Those starts whose window's rolling hash occurs twice: all repeats, and perhaps others."""
     by = 0x9E3779B97F4A7C15
     powers = np.cumprod(np.full(len(data), by, np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers)))
-    back = np.cumprod(np.full(len(data), pow(by, -1, 2**64), np.uint64))
-    h = (sums[starts + length] - sums[starts]) * back[starts]
-    _, kind, times = np.unique(h, return_inverse=True, return_counts=True)
-    return starts[times[kind] > 1]
+    powers *= data + np.uint64(1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(powers)))
+    del powers
+    h = sums[starts + length] - sums[starts]
+    del sums
+    h *= np.cumprod(np.full(len(data), pow(by, -1, 2**64), np.uint64))[starts]
+    order = np.sort(h)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    del order
+    if not len(twice):
+        return starts[:0]
+    at = np.searchsorted(twice, h)
+    at[at == len(twice)] = 0
+    return starts[twice[at] == h]
 
 
 def repeated(strings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
