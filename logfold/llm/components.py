@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from logfold.llm.common import discard, stored
 
 
+#: Edges in a file of a round's result, and files at least.
+PART_EDGES = 2_000_000
+LEAST_PARTS = 8
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
 
@@ -38,8 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     for nothing; repeated edges are one. No edges: no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", "snappy")
+    parts = max(LEAST_PARTS, -(-now.count() // PART_EDGES))  # few files for few edges; a round never adds edges
     while not _settled(now):
-        after = stored(_small_star(_large_star(now)), "edges", "snappy")
+        after = stored(_small_star(_large_star(now)).coalesce(parts), "edges", "snappy")
         discard(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
