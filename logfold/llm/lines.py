@@ -8,10 +8,10 @@ many bands is taken once, and each group's links are verified by the exact Jacca
 spanning forest of the links is emitted. Components are found by distributed rounds over lines; the first line (by doc_id,
 text hash, place) of each component stays, all others go.
 
-Hot groups. A bucket that more than GROUP distinct lines share isn't compared in one task. All its lines meet PIVOTS of
-them, in tasks of bounded size; then those of its lines that aren't in its largest component so far take their turn as
-pivots, until each line is in that component or has met all others. Near copies in any number thus need a few passes that
-grow with their number, and no link is lost.
+Hot groups. A bucket that more than GROUP distinct lines share isn't compared in one task. It is dealt into blocks; in a
+first pass each block's lines meet one another and PIVOTS lines of the bucket, so that near copies in any number come
+together. In a second one those that aren't in the bucket's largest component so far meet all others, lot by lot. Both passes
+are one job whatever the number of lines apart, and no link is lost.
 
 Null texts stay null and count no lines. Empty texts stay. A text that loses all its lines becomes empty. Lines shorter
 than a shingle are one shingle. Whole texts are read. Rows that repeat a doc_id (or have none) are told apart by their text's
@@ -35,13 +35,15 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 4
-#: Distinct lines of a bucket that one task compares; lines that a hot bucket's other lines meet at a time.
+#: Distinct lines of a bucket that one task compares; lines of a hot bucket that all its blocks meet.
 GROUP = 4096
 PIVOTS = 64
 #: Characters hashed at a time, so that the arrays stay in a core's cache.
 BLOCK = 100_000
 #: Cells (lines times shingles) of a group that are met in one matrix.
 CELLS = 4_000_000
+#: Shingles of a group that are indexed at once.
+FLAT = 6_000_000
 #: Keys a task remembers so that a line it has met is not banded again.
 SEEN = 200_000
 #: Bytes of band rows in a partition, and of a run of them that a task holds before it sets hot buckets apart.
@@ -311,8 +313,65 @@ def _forest(lines: list[str], similarity: float) -> list[tuple[int, int]]:
 
 
 def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among lines, breadth first; sizes bound the similarity before sets are met."""
+    """A spanning forest of the links among lines. Lines with too many shingles of their own have no link. Of the others,
+    a line's rarest shingles, one more than a link lets it miss, lead to the lines that it may link to; those are met in
+    full. The search begins with the lines of the most common shingles, so that a group's centre takes it up at once."""
     size = np.array([len(x) for x in sets])
+    if size.sum() > FLAT:
+        return _linked_one_by_one(sets, size, similarity)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    lines = np.arange(len(sets))
+    while len(lines):
+        seen = np.bincount(ids)
+        own = np.add.reduceat(seen[ids] == 1, np.cumsum(size) - size, dtype=np.int64)
+        may = own <= (1 - similarity) * size + 1e-6
+        if may.all():
+            break
+        ids, lines, size = ids[np.repeat(may, size)], lines[may], size[may]
+    if len(lines) < 2:
+        return []
+    first, row = np.cumsum(size) - size, np.repeat(np.arange(len(lines)), size)
+    rank = np.empty(len(seen), np.int64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+    ids = np.sort(row * len(seen) + rank[ids]) - row * len(seen)  # rarest first
+    centre = np.add.reduceat(np.sort(seen)[ids], first) / size
+    lead = np.arange(len(ids)) - first[row] < np.floor((1 - similarity) * size + 1e-6)[row] + 1
+    order = np.argsort(ids[lead], kind="stable")
+    kind, at = ids[lead][order], row[lead][order]
+    new, mark = np.ones(len(lines), bool), np.zeros(len(seen), bool)
+    left, indexed = len(lines), 0
+    edges: list[tuple[int, int]] = []
+    for start in np.argsort(-centre, kind="stable").tolist():
+        if not new[start]:
+            continue
+        new[start], queue, left = False, [start], left - 1
+        while queue and left:
+            if not indexed or left < 0.8 * indexed:
+                kind, at = kind[new[at]], at[new[at]]
+                begins, indexed = np.searchsorted(kind, np.arange(len(seen) + 1)), left
+            k = queue.pop()
+            mine = ids[first[k] : first[k] + size[k]]
+            near = np.unique(at[_ranges(begins[mine], begins[mine + 1] - begins[mine])])
+            near = near[new[near] & (size[near] >= similarity * size[k] - 1e-9) & (similarity * size[near] <= size[k] + 1e-9)]
+            if not len(near):
+                continue
+            mark[mine] = True
+            both = np.add.reduceat(mark[ids[_ranges(first[near], size[near])]], np.cumsum(size[near]) - size[near], dtype=np.int64)
+            mark[mine] = False
+            near = near[both >= similarity * (size[k] + size[near] - both) - 1e-9]
+            new[near], left = False, left - len(near)
+            edges += [(int(lines[k]), int(lines[j])) for j in near]
+            queue += near[np.argsort(centre[near], kind="stable")].tolist()
+    return edges
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _linked_one_by_one(sets: list[np.ndarray], size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """The same without an index, breadth first; sizes bound the similarity before sets are met."""
     left = np.argsort(size, kind="stable")
     edges: list[tuple[int, int]] = []
     while len(left):
@@ -448,64 +507,62 @@ Sets = Callable[[list[str]], list[np.ndarray]]
 
 
 def hot_links(hot: DataFrame, found: DataFrame, edges: DataFrame, sets_of: Sets, similarity: float, group: int, pivots: int) -> DataFrame:
-    """edges and the links within hot buckets (grp, line), found by pivots round after round; found has each line's text."""
+    """edges and the links within hot buckets (grp, line), found in two passes; found has each line's text."""
     spark = hot.sparkSession
     rows = stored(hot, "hot-lines")
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
-    spread = rows.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("line"), "salts").cast("int"))
-    members = stored(spread.join(found, "line").select("grp", "salt", "line", "text", F.lit(False).alias("pivot")), "hot-members")
-    deal = members.select("grp", "salt").distinct()
+    half = max(1, group // 2)
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks"))
+    spread = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int"))
+    members = stored(spread.join(found, "line").select("grp", "blocks", "block", "line", "text"), "hot-members")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads, sets = None, [], []
+        at, held, sets = None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            return [(held[i], held[j]) for i, j in _linked(sets, similarity)] if len(sets) > 1 else []
+
         for batch in batches:
-            out, rest = [], []
-            for grp, salt, line, text, pivot in zip(*(c.to_pylist() for c in batch.columns)):
-                if (grp, salt) != at:
-                    out += _against(sets, heads, rest, sets_of, similarity)
-                    at, heads, sets, rest = (grp, salt), [], [], []
-                if pivot:
-                    heads.append(line)
-                    sets += sets_of([text])
-                else:
-                    rest.append((line, text))
-            out += _against(sets, heads, rest, sets_of, similarity)
+            out: list[tuple[int, int]] = []
+            for grp, block, other, line, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, block, other) != at:
+                    out += close()
+                    at, held, sets = (grp, block, other), [], []
+                held.append(line)
+                sets += sets_of([text])
+            if out:
+                yield _edges(out)
+        if out := close():
             yield _edges(out)
 
-    done = None
-    while True:
-        comp = components(edges)
-        placed = rows.join(comp, F.col("line") == comp["node"], "left").select("grp", "line", F.coalesce("component", "line").alias("component"))
-        placed = stored(placed, "hot-placed")
-        most = placed.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        turn = placed.join(most, "grp").where("component <> largest")
-        if done is not None:
-            turn = turn.join(done, ["grp", "line"], "left_anti")
-        first = turn.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("line"))).where(F.col("nth") <= pivots).select("grp", "line")
-        first = stored(first, "hot-turn")
-        discard(placed)
-        if first.isEmpty():
-            return edges
-        done = first if done is None else done.unionByName(first)
-        heads = first.join(found, "line").join(deal, "grp").select("grp", "salt", "line", "text", F.lit(True).alias("pivot"))
-        met = heads.unionByName(members).repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.desc("pivot"))
+    def with_met(tasks: DataFrame) -> DataFrame:
+        """edges with the links in each task (grp, block, other), stored."""
+        met = tasks.select("grp", "block", "other", "line", "text").repartition("grp", "block", "other").sortWithinPartitions("grp", "block", "other")
         after = stored(edges.unionByName(met.mapInArrow(meet, "a long, b long")).distinct(), "line-links")
         discard(edges)
-        edges = after
         free_shuffles(spark)
-
-
-def _against(sets: list[np.ndarray], heads: list[int], rest: list[tuple[int, str]], sets_of: Sets, similarity: float) -> list[tuple[int, int]]:
-    """Links of pivots with other lines."""
-    if not heads or not rest:
-        return []
-    met = sets_of([t for _, t in rest])
-    size = np.array([len(x) for x in met] + [0])
-    others, out = np.arange(len(rest)), []
-    for head, own in zip(heads, sets):
-        size[-1] = len(own)
-        out += [(head, rest[j][0]) for j in _near([*met, own], size, len(rest), others, similarity).tolist() if rest[j][0] != head]
-    return out
+        return after
+
+    heads = members.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("line", F.lit(1)), "line"))).where(F.col("nth") <= pivots)
+    heads = heads.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").withColumn("block", F.col("to"))
+    own = members.select("grp", "block", "line", "text").unionByName(heads.select("grp", "block", "line", "text"))
+    edges = with_met(own.withColumn("other", F.col("block")))
+
+    placed = members.join(components(edges).withColumnRenamed("node", "line"), "line", "left").select("grp", "line", F.coalesce("component", "line").alias("component"))
+    placed = stored(placed, "hot-placed")
+    most = placed.groupBy("grp", "component").count().groupBy("grp").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("largest"))
+    in_blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    most = most.select("grp", "largest", in_blocks(F.col("n") - F.col("most")).alias("apart"), in_blocks(F.col("most")).alias("blocks"))
+    salt, apart = F.xxhash64("line", F.lit(2)), F.col("component") != F.col("largest")
+    deal = F.when(apart, F.pmod(salt, "apart")).otherwise(F.col("apart") + F.pmod(salt, "blocks")).cast("int")
+    dealt = stored(members.select("grp", "line", "text").join(placed.join(most, "grp").select("grp", "line", "apart", "blocks", deal.alias("deal")), ["grp", "line"]), "hot-dealt")
+    # A task for each lot of lines apart and each lot from it on.
+    asked = dealt.where("deal < apart").withColumn("block", F.col("deal")).withColumn("other", F.explode(F.sequence("deal", F.col("apart") + F.col("blocks") - 1)))
+    answer = dealt.where("deal > 0").withColumn("other", F.col("deal")).withColumn("block", F.explode(F.sequence(F.lit(0), F.least("deal", "apart") - 1)))
+    answer = answer.join(asked.select("grp").distinct(), "grp", "left_semi")
+    edges = with_met(asked.select("grp", "block", "other", "line", "text").unionByName(answer.select("grp", "block", "other", "line", "text")))
+    for t in (rows, members, placed, dealt):
+        discard(t)
+    return edges
 
 
 def kept_places(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:

@@ -82,6 +82,50 @@ def test_hot_bucket_by_pivots(spark, monkeypatch):
     assert run(spark, rows, group=8, pivots=3) == brute(rows)
 
 
+def test_hot_bucket_of_lines_apart_takes_two_passes(spark, monkeypatch):
+    """Most lines of a hot bucket have no link; the passes over it don't grow with their number."""
+    r = random.Random(4)
+    base = [f"word{k}" for k in range(40)]
+    texts = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(20)]
+    texts += [" ".join(x if r.random() < 0.5 else f"w{r.randrange(10**6)}" for x in base) for _ in range(100)]
+    texts += [x + " end" for x in texts[20::7]]
+    hot = spark.createDataFrame([(b"b", k) for k in range(len(texts))], "grp binary, line long")
+    found = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    rounds = []
+    monkeypatch.setattr(lines, "components", lambda e, f=lines.components: rounds.append(1) or f(e))
+    edges = lines.stored(spark.createDataFrame([], "a long, b long"), "edges")
+    edges = lines.hot_links(hot, found, edges, lines._sets, 0.8, 12, 2)
+    assert len(rounds) <= 2
+    got = {x.node: x.component for x in lines.components(edges).collect()}
+    sets, want = [shingles(x) for x in texts], {}
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.setdefault(i, set()).add(j)
+    assert want and all(got[i] == got[j] for i, near in want.items() for j in near)
+    assert len(set(got.values())) == 1 + len(texts[20:120:7]) and len(got) == 20 + 2 * len(texts[20:120:7])
+
+
+def test_the_index_of_a_group_loses_no_link():
+    r = random.Random(2)
+    for similarity in (0.5, 0.8, 0.9) * 10:
+        base = ["".join(r.choice("abcd ") for _ in range(r.choice([5, 40, 120]))) for _ in range(3)]
+        some = []
+        for _ in range(40):
+            x = list(r.choice(base))
+            for _ in range(r.randint(0, 5)):
+                x[r.randrange(len(x))] = r.choice("abcdefgh")
+            some.append("".join(x))
+        sets = lines._sets(some)
+        found = []
+        for edges in (lines._linked(sets, similarity), lines._linked_one_by_one(sets, np.array([len(x) for x in sets]), similarity)):
+            root = list(range(len(some)))
+            for i, j in edges:
+                root = [root[i] if x == root[j] else x for x in root]
+            found.append({frozenset(k for k in range(len(some)) if root[k] == x) for x in root})
+        assert found[0] == found[1]
+
+
 def test_stars_equal_sets():
     r = random.Random(9)
     parts = [["".join(r.choice("abc") for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 5))] for _ in range(40)]
