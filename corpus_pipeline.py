@@ -38,7 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the first by doc_id (null last), then text hash; links are exact."""
+    """One document of each near-duplicate group, the first by doc_id (null last), then text hash. Candidates come from
+    the SimHash operator's grid join and from MinHash bands; links are exact."""
     return near.one_of_each(docs, SIMILARITY, SHINGLE)
 
 

@@ -1,11 +1,13 @@
-"""Near-duplicate documents by word shingles: MinHash bands find candidates, the exact Jaccard similarity links them.
+"""Near-duplicate documents by word shingles: SimHash and MinHash find candidates, the exact Jaccard similarity links them.
 
 A text's words are its lower-cased parts between ASCII white space; its shingles are the distinct runs of that many words,
 as 64-bit hashes. Texts of the same words are one text (a 64-bit hash of the words tells), so exact copies cost one row.
-MinHash signatures are cut into BANDS bands of ROWS, which find a pair at a similarity of 0.8 with a probability of 0.9998;
-texts that share a band form a group, the same group found by many bands is taken once, and in each group the exact
-similarity of the shingle sets decides. Only a spanning forest of a group's links is emitted. Buckets of more than GROUP
-texts are met by pivots, as lines are (lines.py). Components are found by distributed rounds.
+The SimHash operator's grid join (simhash.py: popcount embedding, Manhattan distance, exact check), over the same shingles,
+gives the classes of texts whose fingerprints lie within its distance of one another. At a similarity of 0.8 fingerprints
+differ in some 10 bits, so further candidates are needed: MinHash signatures are cut into BANDS bands of ROWS, which find a pair at a similarity of 0.8 with a probability of 0.9998;
+texts that share a band form a group, and the same group found by many bands is taken once. In each class and group the exact
+similarity of the shingle sets decides. Only a spanning forest of a group's links is emitted. Those of more than GROUP
+texts are met in two passes, as lines are (lines.py). Components are found by distributed rounds.
 
 Null texts and texts without words are copies of one another. Texts with fewer words than a shingle give one shingle of
 them all. Long texts are read whole; repeated rows and ids are each returned, told apart by the hash of their texts; a null
@@ -21,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from logfold.llm import simhash
 from logfold.llm.common import arrow_map, discard, free_shuffles, prepare, stored
 from logfold.llm.components import components
 from logfold.llm.lines import _linked, grouped, hot_links, packed_runs, parts_for
@@ -80,13 +83,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc, copy, key and the bands of every text."""
+    """doc, copy, key, fingerprint and the bands of every text."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        words = [words_of(x) for x in batch.column("text").to_pylist()]
-        return {"doc": batch.column("doc"), "copy": batch.column("copy"), "key": [text_key(x) for x in words], "bands": [bands(shingles(x, shingle)) for x in words]}
+        texts = batch.column("text").to_pylist()
+        words = [words_of(x) for x in texts]
+        fps = np.array([simhash.fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+        return {"doc": batch.column("doc"), "copy": batch.column("copy"), "key": [text_key(x) for x in words], "fp": fps, "bands": [bands(shingles(x, shingle)) for x in words]}
 
-    return arrow_map(numbered(docs), run, "doc long, copy long, key long, bands array<long>")
+    return arrow_map(numbered(docs), run, "doc long, copy long, key long, fp long, bands array<long>")
 
 
 def groups(distinct: DataFrame, size: int = GROUP) -> DataFrame:
@@ -103,9 +108,18 @@ def groups(distinct: DataFrame, size: int = GROUP) -> DataFrame:
     return grouped(distinct.select("key", "bands").mapInArrow(run, "part int, run binary"), parts, size)
 
 
+def fingerprint_groups(distinct: DataFrame, size: int = GROUP) -> DataFrame:
+    """The classes of the SimHash operator with two texts and more, as groups() gives its groups."""
+    found = components(simhash.links(distinct.select("fp").distinct()))
+    named = distinct.join(found, distinct.fp == found.node, "left").select(F.coalesce("component", "fp").alias("class"), "key")
+    named = named.join(named.groupBy("class").count().where("count > 1"), "class").withColumn("grp", F.encode(F.concat(F.lit("class "), F.col("class").cast("string")), "utf-8"))
+    few = named.where(F.col("count") <= size).groupBy("grp").agg(F.collect_list("key").alias("lines")).withColumn("hot", F.lit(False))
+    return few.unionByName(named.where(F.col("count") > size).select("grp", F.array("key").alias("lines"), F.lit(True).alias("hot")))
+
+
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, size: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
     """a, b: links between distinct texts; every two of a group at the similarity are connected through them."""
-    found = stored(groups(distinct, size), "near-groups")
+    found = stored(fingerprint_groups(distinct, size).unionByName(groups(distinct, size)), "near-groups")
     free_shuffles(docs.sparkSession)
     members = found.where("not hot").groupBy("grp").agg(F.first("lines").alias("lines")).select("grp", F.explode("lines").alias("line"))
     hot = found.where("hot").select("grp", F.col("lines")[0].alias("line"))
@@ -151,7 +165,7 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY,
 def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, size: int = GROUP, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """The rows (doc, copy, key) and, for each key, its class's first row (first, a struct of doc and copy)."""
     prints = stored(signatures(docs, shingle), "signatures")
-    distinct = stored(prints.groupBy("key").agg(F.min(F.struct("doc", "copy")).alias("least"), F.first("bands").alias("bands")), "distinct-texts")
+    distinct = stored(prints.groupBy("key").agg(F.min(F.struct("doc", "copy")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
     edges = links(docs, distinct, similarity, shingle, size, pivots)
     found = components(edges)
     discard(edges)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from logfold.llm import near
+from logfold.llm import near, simhash
 
 
 def grams(text, n=5):
@@ -93,5 +93,23 @@ def test_hot_bucket_by_pivots(spark):
     assert {r.doc_id: r.component_id for r in near.near_documents(docs, size=6, pivots=2).collect()} == brute(rows)
 
 
+def test_simhash_classes_are_candidates(spark, monkeypatch):
+    """Without MinHash's groups, texts are linked where the SimHash grid join finds them and their similarity allows it."""
+    r = random.Random(3)
+    rows, close = [], set()
+    for k in range(12):
+        words = [f"w{r.randrange(2000)}" for _ in range(300)]
+        other = list(words)
+        other[r.randrange(300)] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if (simhash.fingerprint(rows[-1][1], 5) ^ simhash.fingerprint(rows[-2][1], 5)).bit_count() <= simhash.MAX_DISTANCE:
+            close.add(2 * k + 1)
+    monkeypatch.setattr(near, "groups", lambda distinct, size: near.fingerprint_groups(distinct, size).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4096, 1):  # whole classes, and classes taken as hot
+        got = {x.doc_id: x.component_id for x in near.near_documents(docs, size=size).collect()}
+        assert close and got == {d: d - 1 if d in close else d for d, _ in rows}
+
+
 def test_empty(spark):
     assert near.near_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
