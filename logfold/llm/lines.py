@@ -42,8 +42,9 @@ PIVOTS = 64
 BLOCK = 100_000
 #: Cells (lines times shingles) of a group that are met in one matrix.
 CELLS = 4_000_000
-#: Shingles of a group that are indexed at once.
+#: Shingles of a group that are indexed at once, and words of bits that its lines' sets may take.
 FLAT = 6_000_000
+BIT_WORDS = 6_000_000
 #: Keys a task remembers so that a line it has met is not banded again.
 SEEN = 200_000
 #: Bytes of band rows in a partition, and of a run of them that a task holds before it sets hot buckets apart.
@@ -314,8 +315,9 @@ def _forest(lines: list[str], similarity: float) -> list[tuple[int, int]]:
 
 def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines. Lines with too many shingles of their own have no link. Of the others,
-    a line's rarest shingles, one more than a link lets it miss, lead to the lines that it may link to; those are met in
-    full. The search begins with the lines of the most common shingles, so that a group's centre takes it up at once."""
+    two that link share one of each one's rarest shingles, one more than a link lets it miss; those that do are met in
+    full, as rows of bits where these are fewer words than shingles. The search begins with the lines of the most common
+    shingles, so that a group's centre takes it up at once."""
     size = np.array([len(x) for x in sets])
     if size.sum() > FLAT:
         return _linked_one_by_one(sets, size, similarity)
@@ -335,10 +337,12 @@ def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
     ids = np.sort(row * len(seen) + rank[ids]) - row * len(seen)  # rarest first
     centre = np.add.reduceat(np.sort(seen)[ids], first) / size
-    lead = np.arange(len(ids)) - first[row] < np.floor((1 - similarity) * size + 1e-6)[row] + 1
+    leads = np.floor((1 - similarity) * size + 1e-6).astype(np.int64) + 1
+    lead = np.arange(len(ids)) - first[row] < leads[row]
     order = np.argsort(ids[lead], kind="stable")
     kind, at = ids[lead][order], row[lead][order]
     new, mark = np.ones(len(lines), bool), np.zeros(len(seen), bool)
+    bits = _bit_rows(ids, first, size, int(np.count_nonzero(seen < 2)), len(seen))
     left, indexed = len(lines), 0
     edges: list[tuple[int, int]] = []
     for start in np.argsort(-centre, kind="stable").tolist():
@@ -351,13 +355,18 @@ def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
                 begins, indexed = np.searchsorted(kind, np.arange(len(seen) + 1)), left
             k = queue.pop()
             mine = ids[first[k] : first[k] + size[k]]
-            near = np.unique(at[_ranges(begins[mine], begins[mine + 1] - begins[mine])])
-            near = near[new[near] & (size[near] >= similarity * size[k] - 1e-9) & (similarity * size[near] <= size[k] + 1e-9)]
+            lead, met = mine[: leads[k]], np.zeros(len(lines), bool)
+            met[at[_ranges(begins[lead], begins[lead + 1] - begins[lead])]] = True
+            near = np.flatnonzero(met & new)
+            near = near[(size[near] >= similarity * size[k] - 1e-9) & (similarity * size[near] <= size[k] + 1e-9)]
             if not len(near):
                 continue
-            mark[mine] = True
-            both = np.add.reduceat(mark[ids[_ranges(first[near], size[near])]], np.cumsum(size[near]) - size[near], dtype=np.int64)
-            mark[mine] = False
+            if bits is not None:
+                both = np.bitwise_count(bits[near] & bits[k]).sum(axis=1, dtype=np.int64)
+            else:
+                mark[mine] = True
+                both = np.add.reduceat(mark[ids[_ranges(first[near], size[near])]], np.cumsum(size[near]) - size[near], dtype=np.int64)
+                mark[mine] = False
             near = near[both >= similarity * (size[k] + size[near] - both) - 1e-9]
             new[near], left = False, left - len(near)
             edges += [(int(lines[k]), int(lines[j])) for j in near]
@@ -365,6 +374,24 @@ def _linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return edges
 
 
+def _bit_rows(ids: np.ndarray, first: np.ndarray, size: np.ndarray, low: int, kinds: int) -> np.ndarray | None:
+    """Each line's shingles from number ``low`` on (those below have one line each) as a row of bits; none where the rows
+    would be longer than the sets or too many."""
+    words = -(-(kinds - low) // 64)
+    if not words or words > ids.size / len(first) or words * len(first) > BIT_WORDS:
+        return None
+    out = np.empty((len(first), words), np.uint64)
+    step = max(1, CELLS // (64 * words))
+    for a in range(0, len(first), step):
+        b = min(a + step, len(first))
+        mine = ids[first[a] : first[b - 1] + size[b - 1]] - low
+        rows = np.repeat(np.arange(b - a), size[a:b])
+        flags = np.zeros((b - a, 64 * words), bool)
+        flags[rows[mine >= 0], mine[mine >= 0]] = True
+        out[a:b] = np.packbits(flags, axis=1).view(np.uint64)
+    return out
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers from each start on, so many of each."""
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())

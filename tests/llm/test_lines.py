@@ -126,6 +126,25 @@ def test_the_index_of_a_group_loses_no_link():
         assert found[0] == found[1]
 
 
+def test_a_group_near_the_threshold_is_met_without_its_shingles(monkeypatch):
+    """Of lines that miss a link by little, only the rarest shingles are looked up and no set is gone through."""
+    r = random.Random(8)
+    base = [f"word{k}" for k in range(60)]
+    some = [" ".join(x if r.random() < 0.93 else r.choice(("one", "two", "three", "four")) for x in base) for _ in range(300)]
+    sets, looked = lines._sets(some), []
+    monkeypatch.setattr(lines, "_ranges", lambda a, b, f=lines._ranges: looked.append(int(b.sum())) or f(a, b))
+    got = []
+    for words in (lines.BIT_WORDS, 0):
+        monkeypatch.setattr(lines, "BIT_WORDS", words)
+        root = list(range(len(some)))
+        for i, j in lines._linked(sets, 0.8):
+            root = [root[i] if x == root[j] else x for x in root]
+        got.append({frozenset(k for k in range(len(some)) if root[k] == x) for x in root})
+        if words:
+            assert sum(looked) < 2_000_000
+    assert got[0] == got[1] and 1 < len(got[0]) < len(some)
+
+
 def test_stars_equal_sets():
     r = random.Random(9)
     parts = [["".join(r.choice("abc") for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 5))] for _ in range(40)]
